@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curve_packing, feistel_shards, graph_spans, ngram_join, piece_encoding, quality_rules, url_digests
+from . import curve_packing, feistel_shards, graph_spans, host_paths, ngram_join, piece_encoding, quality_rules, syncmer_prints, toxicity_cnn, url_digests
 from .common import table
 
 #: Fixed values of the URL rules: verdict, host, path.
@@ -44,10 +44,22 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_syncmer_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmer_prints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_digests.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -59,7 +71,10 @@ def queries() -> dict:
         "op3_curve_packing": op3_curve_packing,
         "op4_graph_spans": op4_graph_spans,
         "op5_feistel_shards": op5_feistel_shards,
+        "op6_host_paths": op6_host_paths,
+        "op7_syncmer_prints": op7_syncmer_prints,
         "op8_ngram_join": op8_ngram_join,
+        "op9_toxicity_cnn": op9_toxicity_cnn,
         "op10_url_digests": op10_url_digests,
     }
 
