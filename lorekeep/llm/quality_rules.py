@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import in_arrow, mix
 
@@ -120,8 +121,10 @@ def entropy(ids: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def judge(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, bands: dict = BANDS) -> DataFrame:
-    """Per document the base counts, the measures, the band that was used and the verdict ``kept``."""
+def judge(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, bands: dict = BANDS, carry: str | None = None) -> DataFrame:
+    """Per document the base counts, the measures, the band that was used and the verdict ``kept``; ``carry``: a column
+    of ``docs`` that is passed on."""
+    more = [carry] if carry else []
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = fertility(piece_model, byte_ranks, pattern)
@@ -146,6 +149,7 @@ def judge(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, band
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 12
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 4 + [pa.string()]
             names = re.findall(r"(\w+) \w+", SCHEMA)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[3:]], [*names, *more])
 
-    return in_arrow(docs.select("doc_id", "text", "lang"), step, SCHEMA)
+    carried = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", *more), step, SCHEMA + carried)

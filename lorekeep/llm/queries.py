@@ -32,7 +32,11 @@ def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curve_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return curve_packing.pack(table(spark, sf_dir, "documents"), word_file())
+
+
+def word_file() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op4_graph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
