@@ -33,7 +33,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordTokens:
     """Ids of white-space separated words, which this tokeniser encodes independently; two bounded cache generations."""
 
-    MOST = 400_000
+    MOST = 600_000
 
     def __init__(self, tokenizer_file: str) -> None:
         from tokenizers import Tokenizer
@@ -48,17 +48,19 @@ class WordTokens:
             self.older, self.words = self.words, {}
         found = self.older.get(word)
         if found is None:
-            found = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u2").tobytes()
+            if word[-1:] in b",." and word[-2:-1].isalpha():  # a mark after a letter is a token row of its own
+                stem, mark = word[:-1], word[-1:]
+                found = b"".join(self.words.get(x) or self.miss(x) for x in (stem, mark))
+            else:
+                found = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u2").tobytes()
         if len(word) <= 64:
             self.words[word] = found
         return found
 
     def ids(self, raw: bytes) -> bytes:
-        """Little-endian unsigned 16-bit ids: the vocabulary has fewer than 65,536."""
-        parts = []
-        for w in raw.split():
-            found = self.words.get(w)
-            parts.append(self.miss(w) if found is None else found)
+        """Little-endian unsigned 16-bit ids: the vocabulary has fewer than 65,536. The tokeniser lower-cases anyway."""
+        get = self.words.get
+        parts = [self.miss(w) if (found := get(w)) is None else found for w in raw.lower().split()]
         return b"".join(parts)
 
 
@@ -67,11 +69,11 @@ def word_tokens(tokenizer_file: str) -> WordTokens:
     return WordTokens(tokenizer_file)
 
 
-def projection(vocabulary: int = 1 << 16) -> np.ndarray:
-    """Row per token: the row of its hashed dimension in a fixed Gaussian matrix."""
-    matrix = np.random.default_rng(20).standard_normal((HASHED, SHOWN)).astype(np.float32)
-    tokens = np.arange(vocabulary, dtype=np.uint64)
-    return matrix[((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64)]
+def projection() -> tuple[np.ndarray, np.ndarray]:
+    """The hashed dimension of each token id, and the fixed Gaussian matrix that the hashed vectors are projected by."""
+    tokens = np.arange(1 << 16, dtype=np.uint64)
+    dimension = ((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+    return dimension, np.random.default_rng(20).standard_normal((HASHED, SHOWN)).astype(np.float32)
 
 
 def hilbert(axes: list[int], bits: int = BITS) -> int:
@@ -102,15 +104,11 @@ def hilbert(axes: list[int], bits: int = BITS) -> int:
     return out
 
 
-def curve_key(ids: np.ndarray, rows: np.ndarray) -> int:
+def curve_key(ids: np.ndarray, dimension: np.ndarray, matrix: np.ndarray) -> int:
     """Hilbert key of the document vector; the empty document lies in the middle cell."""
-    if not len(ids):
-        return hilbert([1 << (BITS - 1)] * SHOWN)
-    shown = np.bincount(ids, minlength=0)
-    used = np.flatnonzero(shown)
-    weights = np.log1p(shown[used]).astype(np.float32)
-    v = weights @ rows[used] / (np.sqrt((weights**2).sum()) + 1e-9)
-    cells = np.clip((0.5 + 0.5 * np.tanh(v / 2)) * (1 << BITS), 0, (1 << BITS) - 1).astype(int)
+    weights = np.log1p(np.bincount(dimension[ids], minlength=HASHED)).astype(np.float32)
+    shown = weights @ matrix / max(float(np.sqrt(weights @ weights)), 1e-9)
+    cells = np.clip((0.5 + 0.5 * np.tanh(shown / 2)) * (1 << BITS), 0, (1 << BITS) - 1).astype(int)
     return hilbert(cells.tolist())
 
 
@@ -118,13 +116,13 @@ def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """doc_id, place on the curve (key and tie-break in one long), token count with the end id, ids."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rows = word_tokens(tokenizer_file), projection()
+        own, (dimension, matrix) = word_tokens(tokenizer_file), projection()
         end = np.array([END_ID], dtype="<u2").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 ids = [own.ids(t or b"") for t in some.column(1).cast(pa.large_binary()).to_pylist()]
-                keys = [curve_key(np.frombuffer(x, "<u2"), rows) for x in ids]
+                keys = [curve_key(np.frombuffer(x, "<u2"), dimension, matrix) for x in ids]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys, pa.int64()), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "curve", "n", "ids"])
 
     read = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, curve long, n long, ids binary")
