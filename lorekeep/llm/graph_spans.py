@@ -100,10 +100,11 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """key (of a text), spans: runs of window starts (first, count) whose windows occur elsewhere too."""
     occurrences = cut(edges(docs, text), "edges")
     repeated = occurrences.groupBy("edge").agg(F.count("*").alias("n"), (F.min("around") == F.max("around")).alias("straight")).where("n > 1").drop("n")
-    met = cut(occurrences.join(repeated, "edge"), "repeated-edges")
+    # Sums by key are tables before they are joined: Spark can then split a join whose key is hot.
+    met = cut(occurrences.join(cut(repeated, "repeated"), "edge"), "repeated-edges")
     branching = met.where(~F.col("straight"))
     paths = branching.groupBy("edge", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("witness"))
-    split = branching.join(paths, ["edge", "around"]).select(
+    split = branching.join(cut(paths, "paths"), ["edge", "around"]).select(
         "key", "first", "count", (F.col("n") > 1).alias("settled"), ((F.col("n") == 1) | (F.col("witness") == F.struct("key", "first"))).alias("open")
     )
     split = cut(split, "branches")
@@ -111,6 +112,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).where(F.col(text).isNotNull())
     found = cut(windows(texts.join(compared, "key")), "windows")
     twice = found.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
+    twice = cut(twice, "twice")
     verified = found.where(~F.col("settled")).join(twice, ["one", "two"]).select("key", "first", F.lit(1).alias("count"))
     settled = met.where("straight").select("key", "first", "count").unionByName(split.where("settled").select("key", "first", "count"))
     return settled.unionByName(verified).groupBy("key").agg(F.collect_set(F.struct("first", "count")).alias("spans"))
