@@ -3,8 +3,12 @@
 from pyspark.sql import types as T
 
 
-def of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+KINDS = {"LONG": T.LongType(), "INT": T.IntegerType(), "FLOAT": T.FloatType(), "STRING": T.StringType(), "ARRAY<FLOAT>": T.ArrayType(T.FloatType())}
+
+
+def of(fields: str) -> T.StructType:
+    """Field names and kinds; read here, as Spark's own DDL parser needs a session."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (x.split() for x in fields.split(","))])
 
 
 KV_LOG = of("lsn LONG, ts_ms LONG, op STRING, key STRING, value STRING, ttl_ms LONG")
