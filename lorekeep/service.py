@@ -14,6 +14,7 @@ from lorekeep.operators.graph import Graph
 from lorekeep.operators.kv import KVTable
 from lorekeep.operators.rag import graph_rag, graph_rag_batch
 from lorekeep.operators.similar import get, top_k
+from lorekeep.sources.tables import materialised
 
 Embedder = Callable[[str], list[float]]
 VECTORS = "key string, embedding array<float>, metadata string"
@@ -47,6 +48,15 @@ class Engine:
         self.kv, self.graph = KVTable.empty(spark), Graph.empty(spark)
         self.vectors = spark.createDataFrame([], VECTORS)
 
+    def settle(self, kv: KVTable | None = None, vectors=None, graph: Graph | None = None) -> None:
+        """A change is a table before the next one builds on it, so plans stay as small as one operation."""
+        if kv is not None:
+            self.kv = KVTable(materialised(kv.log.coalesce(1), "engine"), kv.shards)
+        if vectors is not None:
+            self.vectors = materialised(vectors.coalesce(1), "engine")
+        if graph is not None:
+            self.graph = Graph(*(materialised(t.coalesce(1), "engine") for t in (graph.nodes, graph.edges, graph.vectors)))
+
     @staticmethod
     def need(**fields) -> None:
         for name, value in fields.items():
@@ -60,7 +70,7 @@ class Engine:
         self.need(key=key)
         if value is None:
             raise RequestError(400, "value is required")
-        self.kv = self.kv.put(key, value, ttl_ms, self.clock())
+        self.settle(kv=self.kv.put(key, value, ttl_ms, self.clock()))
         return {"success": True}
 
     def kv_get(self, key: str | None = None) -> dict:
@@ -72,7 +82,8 @@ class Engine:
 
     def kv_delete(self, key: str | None = None) -> dict:
         self.need(key=key)
-        self.kv, there = self.kv.remove(key, self.clock())
+        after, there = self.kv.remove(key, self.clock())
+        self.settle(kv=after)
         if not there:
             raise RequestError(404, "key not found")
         return {"success": True}
@@ -80,7 +91,7 @@ class Engine:
     def vector_put(self, key: str | None = None, embedding: list[float] | None = None, metadata: str = "") -> dict:
         self.need(key=key, embedding=embedding)
         new = self.spark.createDataFrame([(key, [float(x) for x in embedding], metadata)], VECTORS)
-        self.vectors = self.vectors.where(F.col("key") != key).unionByName(new)
+        self.settle(vectors=self.vectors.where(F.col("key") != key).unionByName(new))
         return {"success": True, "dim": len(embedding)}
 
     def vector_get(self, key: str | None = None) -> dict:
@@ -92,7 +103,7 @@ class Engine:
 
     def vector_delete(self, key: str | None = None) -> dict:
         self.vector_get(key)
-        self.vectors = self.vectors.where(F.col("key") != key)
+        self.settle(vectors=self.vectors.where(F.col("key") != key))
         return {"success": True}
 
     def vector_search(self, query: list[float] | None = None, top_k_: int | None = None, metric: str = "l2") -> dict:
@@ -103,14 +114,13 @@ class Engine:
 
     def add_node(self, node_id: str | None = None, properties_json: str = "{}", embedding: list[float] | None = None) -> dict:
         self.need(node_id=node_id)
-        self.graph = self.graph.add_nodes([(node_id, properties_json)])
-        if embedding:
-            self.graph = self.graph.set_vectors([(node_id, embedding)])
+        graph = self.graph.add_nodes([(node_id, properties_json)])
+        self.settle(graph=graph.set_vectors([(node_id, embedding)]) if embedding else graph)
         return {"success": True}
 
     def add_edge(self, src_id: str | None = None, dst_id: str | None = None, label: str | None = None, weight: float = 1.0, properties_json: str = "{}") -> dict:
         self.need(src_id=src_id, dst_id=dst_id, label=label)
-        self.graph = self.graph.add_edges([(src_id, dst_id, label, weight, properties_json)])
+        self.settle(graph=self.graph.add_edges([(src_id, dst_id, label, weight, properties_json)]))
         return {"success": True}
 
     def rag_query(self, query_embedding: list[float] | None = None, query_embeddings: list[list[float]] | None = None, vector_top_k: int = 3, hop_depth: int = 2) -> dict:
