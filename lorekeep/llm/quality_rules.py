@@ -31,10 +31,10 @@ LEAST_WORDS = 50
 #: (least, most) characters per piece token, (least, most) characters per byte-level token, most byte-fallback share,
 #: least entropy in bits per token. Set once below the least values seen on prose labelled good, with a margin.
 BANDS = {
-    "en": ((1.75, 6.0), (1.92, 6.0), 0.10, 4.8),
-    "de": ((1.95, 6.0), (2.08, 6.0), 0.10, 4.8),
-    "fr": ((1.58, 6.0), (1.74, 6.0), 0.10, 4.8),
-    "es": ((1.72, 6.0), (1.85, 6.0), 0.10, 4.8),
+    "en": ((1.72, 6.0), (1.92, 6.0), 0.10, 4.8),
+    "de": ((1.84, 6.0), (2.08, 6.0), 0.10, 4.8),
+    "fr": ((1.55, 6.0), (1.74, 6.0), 0.10, 4.8),
+    "es": ((1.60, 6.0), (1.85, 6.0), 0.10, 4.8),
     "latin": ((1.30, 6.0), (1.20, 6.0), 0.15, 4.0),
     "cyrillic": ((1.10, 6.0), (0.80, 6.0), 0.25, 4.0),
     "greek": ((0.60, 6.0), (0.60, 6.0), 0.40, 4.0),
