@@ -572,7 +572,7 @@ def perf_relative_to_best(spark, d):
 SELECT threads, base, variant, round(variant / base, 6) AS ratio FROM c""")
 def perf_group_ratio(spark, d):
     """Counts of two modes side by side by group, with their ratio."""
-    p = derive.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("threads")).pivot("l_returnflag", ["A", "R"]).agg(F.count("*"))
+    p = derive.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("threads")).pivot("l_returnflag", ["A", "R"]).agg(F.count(F.lit(1)))
     return p.select("threads", F.col("A").alias("base"), F.col("R").alias("variant"), F.round(F.col("R") / F.col("A"), 6).alias("ratio"))
 
 
