@@ -2,7 +2,7 @@
 
 Two public vocabularies read each word: a piece vocabulary with byte fallback and a byte-level one for many languages.
 A text is measured by characters per token under both, by the share of byte-fallback tokens and by the entropy of its
-tokens; a measure outside the band of its language (or, where the language is not named, of its main script) rejects
+tokens, which is weighed with the byte-level rate against what is least for their number; a measure outside the band of its language (or, where the language is not named, of its main script) rejects
 the text. The counts of the base rules (words, symbols, repeated lines, repeated three-word windows) come first.
 
 Null and empty texts have no words, zero measures and fail the base. Texts of any length are read whole; repeated
@@ -28,18 +28,21 @@ from .common import in_arrow, mix
 SYMBOLS = b"#*$%&|<>"
 #: Fewer words fail the base.
 LEAST_WORDS = 50
+#: Least sums are given at these binary logarithms of the number of tokens; between them they are interpolated.
+KNOTS = range(6, 14)
 #: (least, most) characters per piece token, (least, most) characters per byte-level token, most byte-fallback share,
-#: least entropy in bits per token. Set once below the least values seen on prose labelled good, with a margin.
+#: weight of the byte-level rate and, at the knots, the least sum of entropy in bits and weighted rate. A rate's least
+#: lies below the values of prose labelled good, with a margin; a sum's between them and those of tables labelled bad.
 BANDS = {
-    "en": ((1.72, 6.0), (1.92, 6.0), 0.10, 4.8),
-    "de": ((1.84, 6.0), (2.08, 6.0), 0.10, 4.8),
-    "fr": ((1.55, 6.0), (1.74, 6.0), 0.10, 4.8),
-    "es": ((1.60, 6.0), (1.85, 6.0), 0.10, 4.8),
-    "latin": ((1.30, 6.0), (1.20, 6.0), 0.15, 4.0),
-    "cyrillic": ((1.10, 6.0), (0.80, 6.0), 0.25, 4.0),
-    "greek": ((0.60, 6.0), (0.60, 6.0), 0.40, 4.0),
-    "cjk": ((0.30, 4.0), (0.30, 4.0), 0.80, 4.0),
-    "other": ((0.20, 6.0), (0.20, 6.0), 1.00, 3.5),
+    "en": ((1.72, 6.0), (1.92, 6.0), 0.10, 1.0, (7.30, 7.77, 8.16, 8.45, 8.64, 8.77, 8.84, 8.90)),
+    "de": ((1.84, 6.0), (2.00, 6.0), 0.10, 1.0, (7.08, 7.69, 8.03, 8.30, 8.47, 8.56, 8.64, 8.68)),
+    "fr": ((1.55, 6.0), (1.74, 6.0), 0.10, 1.0, (7.17, 7.46, 7.81, 8.04, 8.20, 8.29, 8.31, 8.42)),
+    "es": ((1.60, 6.0), (1.85, 6.0), 0.10, 1.0, (7.10, 7.41, 7.73, 8.04, 8.23, 8.31, 8.36, 8.51)),
+    "latin": ((1.30, 6.0), (1.20, 6.0), 0.15, 0.0, (4.0,) * 8),
+    "cyrillic": ((1.10, 6.0), (0.80, 6.0), 0.25, 0.0, (4.0,) * 8),
+    "greek": ((0.60, 6.0), (0.60, 6.0), 0.40, 0.0, (4.0,) * 8),
+    "cjk": ((0.30, 4.0), (0.30, 4.0), 0.80, 0.0, (4.0,) * 8),
+    "other": ((0.20, 6.0), (0.20, 6.0), 1.00, 0.0, (3.5,) * 8),
 }
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, piece_chars_per_token double, byte_chars_per_token double, byte_fallback_share double, token_entropy double, band string"
 
@@ -143,8 +146,9 @@ def judge(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, band
                 share = float(((ids >= 3) & (ids < 259)).mean()) if len(ids) else 0.0
                 bits = entropy(ids)
                 band = lang if lang in bands else script_of(raw.decode())
-                (a, b), (c, d), most, least = bands[band]
-                fits = a <= piece_rate <= b and c <= level_rate <= d and share <= most and bits >= least
+                (a, b), (c, d), most, weight, least = bands[band]
+                fits = a <= piece_rate <= b and c <= level_rate <= d and share <= most
+                fits = fits and bits + weight * level_rate >= float(np.interp(np.log2(max(len(ids), 1)), KNOTS, least))
                 rows.append((len(words), chars, symbols, duplicate_lines(raw), repeated, failed, not failed and fits, piece_rate, level_rate, share, bits, band))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 12
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 4 + [pa.string()]

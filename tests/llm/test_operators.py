@@ -327,3 +327,18 @@ def test_url_digests_confirm_strings(tmp_path, monkeypatch):
     table = url_digests.Digests(str(tmp_path / url_digests.write_digests(URL_RULES, str(tmp_path))))
     rule, verdict = table.judge([(b"net", b"/fr/x"), (b"org", b"/fr/x")], "allow")
     assert rule == ["net/fr/", None] and verdict == ["block", "allow"] and xxhash
+
+
+def labelled(spark, lang=None):
+    """Labelled rows of sf0.01 that pass the base, judged; ``lang``: a column in place of their own."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    docs = docs if lang is None else docs.withColumn("lang", lang)
+    return quality_rules.judge(docs, **quality_files()).where("not base_failed").join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+
+
+def test_quality_bands_reject_tables_and_keep_good_rows(spark):
+    rows = labelled(spark)
+    tables = [r for r in rows if r["quality"] == 0 and " | " in r["text"]]
+    assert len(tables) >= 10 and not any(r["kept"] for r in rows if r["quality"] == 0)
+    good = [r["kept"] for r in rows if r["quality"] == 1]
+    assert len(good) > 300 and sum(good) >= 0.99 * len(good)
