@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +32,22 @@ LEAST_WORDS = 50
 #: Least sums are given at these binary logarithms of the number of tokens; between them they are interpolated.
 KNOTS = range(6, 14)
 #: (least, most) characters per piece token, (least, most) characters per byte-level token, most byte-fallback share,
-#: weight of the byte-level rate and, at the knots, the least sum of entropy in bits and weighted rate. A rate's least
-#: lies below the values of prose labelled good, with a margin; a sum's between them and those of tables labelled bad.
+#: weight of the byte-level rate and, at the knots, the least sum of entropy in bits and weighted rate; most symbols a
+#: word. A rate's least lies below the values of prose labelled good, with a margin; a sum's between them and those of
+#: tables labelled bad. Languages are told by rates; the bands of scripts, which hold for many, bound the symbols too.
 BANDS = {
-    "en": ((1.72, 6.0), (1.92, 6.0), 0.10, 1.0, (7.30, 7.77, 8.16, 8.45, 8.64, 8.77, 8.84, 8.90)),
-    "de": ((1.84, 6.0), (2.00, 6.0), 0.10, 1.0, (7.08, 7.69, 8.03, 8.30, 8.47, 8.56, 8.64, 8.68)),
-    "fr": ((1.55, 6.0), (1.74, 6.0), 0.10, 1.0, (7.17, 7.46, 7.81, 8.04, 8.20, 8.29, 8.31, 8.42)),
-    "es": ((1.60, 6.0), (1.85, 6.0), 0.10, 1.0, (7.10, 7.41, 7.73, 8.04, 8.23, 8.31, 8.36, 8.51)),
-    "latin": ((1.30, 6.0), (1.20, 6.0), 0.15, 0.0, (4.0,) * 8),
-    "cyrillic": ((1.10, 6.0), (0.80, 6.0), 0.25, 0.0, (4.0,) * 8),
-    "greek": ((0.60, 6.0), (0.60, 6.0), 0.40, 0.0, (4.0,) * 8),
-    "cjk": ((0.30, 4.0), (0.30, 4.0), 0.80, 0.0, (4.0,) * 8),
-    "other": ((0.20, 6.0), (0.20, 6.0), 1.00, 0.0, (3.5,) * 8),
+    "en": ((1.72, 6.0), (1.92, 6.0), 0.10, 1.0, (7.30, 7.77, 8.16, 8.45, 8.64, 8.77, 8.84, 8.90), inf),
+    "de": ((1.84, 6.0), (2.00, 6.0), 0.10, 1.0, (7.08, 7.69, 8.03, 8.30, 8.47, 8.56, 8.64, 8.68), inf),
+    "fr": ((1.55, 6.0), (1.74, 6.0), 0.10, 1.0, (7.17, 7.46, 7.81, 8.04, 8.20, 8.29, 8.31, 8.42), inf),
+    "es": ((1.60, 6.0), (1.85, 6.0), 0.10, 1.0, (7.10, 7.41, 7.73, 8.04, 8.23, 8.31, 8.36, 8.51), inf),
+    "latin": ((1.30, 6.0), (1.20, 6.0), 0.15, 0.3, (5.69, 6.13, 6.50, 6.77, 6.96, 7.05, 7.13, 7.19), 0.1),
+    "cyrillic": ((1.10, 6.0), (0.80, 6.0), 0.25, 0.0, (4.0,) * 8, 0.1),
+    "greek": ((0.60, 6.0), (0.60, 6.0), 0.40, 0.0, (4.0,) * 8, 0.1),
+    "cjk": ((0.30, 4.0), (0.30, 4.0), 0.80, 0.0, (4.0,) * 8, 0.1),
+    "other": ((0.20, 6.0), (0.20, 6.0), 1.00, 0.0, (3.5,) * 8, 0.1),
 }
+#: Names of bands that no ``lang`` can choose.
+SCRIPTS = frozenset("latin cyrillic greek cjk other".split())
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, piece_chars_per_token double, byte_chars_per_token double, byte_fallback_share double, token_entropy double, band string"
 
 
@@ -145,9 +149,9 @@ def judge(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, band
                 piece_rate, level_rate = chars / max(len(ids), 1), chars / max(level, 1)
                 share = float(((ids >= 3) & (ids < 259)).mean()) if len(ids) else 0.0
                 bits = entropy(ids)
-                band = lang if lang in bands else script_of(raw.decode())
-                (a, b), (c, d), most, weight, least = bands[band]
-                fits = a <= piece_rate <= b and c <= level_rate <= d and share <= most
+                band = lang if lang in bands and lang not in SCRIPTS else script_of(raw.decode())
+                (a, b), (c, d), most, weight, least, marks = bands[band]
+                fits = a <= piece_rate <= b and c <= level_rate <= d and share <= most and symbols <= marks * len(words)
                 fits = fits and bits + weight * level_rate >= float(np.interp(np.log2(max(len(ids), 1)), KNOTS, least))
                 rows.append((len(words), chars, symbols, duplicate_lines(raw), repeated, failed, not failed and fits, piece_rate, level_rate, share, bits, band))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 12

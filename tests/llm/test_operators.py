@@ -342,3 +342,13 @@ def test_quality_bands_reject_tables_and_keep_good_rows(spark):
     assert len(tables) >= 10 and not any(r["kept"] for r in rows if r["quality"] == 0)
     good = [r["kept"] for r in rows if r["quality"] == 1]
     assert len(good) > 300 and sum(good) >= 0.99 * len(good)
+
+
+@pytest.mark.parametrize("lang", [None, "xx", "other", "cjk"])
+def test_quality_script_bands_reject_the_same_junk(spark, lang):
+    rows = labelled(spark, F.lit(lang).cast("string"))
+    assert {r["band"] for r in rows} == {"latin"}
+    junk = [r for r in rows if r["quality"] == 0]
+    assert sum(" | " in r["text"] for r in junk) >= 10 and sum("%%%" in r["text"] for r in junk) >= 10 and not any(r["kept"] for r in junk)
+    good = [r["kept"] for r in rows if r["quality"] == 1]
+    assert len(good) > 300 and sum(good) >= 0.99 * len(good)
