@@ -2,7 +2,8 @@
 
 Each page is read once as a tree of its structural elements; an element's generalised path is its chain of tags and
 classes, with numbers made equal. A page scores its containers (text that is not in links, with a loss for each level
-that the text lies deeper) and votes for the path of its best one. Spark counts the votes by host and path. Every page
+that the text lies deeper) and votes for the path of its best one, or of an article or main around it with further
+text. Spark counts the votes by host and path. Every page
 is then read again and its text is taken from the elements on its host's winning path; a page without such an element
 uses its own best container. Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and comments
 are left out of scores and texts alike.
@@ -93,7 +94,21 @@ class Page:
                     gain *= DEPTH_LOSS
                     node = self.parent[node]
         found = [(s, -i) for i, s in enumerate(score) if s > 0 and self.tag[i] in CONTAINERS]
-        return (self.path[-max(found)[1]], max(found)[0]) if found else None
+        return (self.path[self.widened(-max(found)[1])], max(found)[0]) if found else None
+
+    def widened(self, node: int) -> int:
+        """The outermost article or main around the element that has further text, more of it outside links than in."""
+        size = [0] * len(self.tag)
+        for at, text, linked in self.pieces:
+            while at > 0 and not self.out[at]:
+                size[at] += -len(text.strip()) if linked else len(text.strip())
+                at = self.parent[at]
+        best, above = node, self.parent[node]
+        while above > 0:
+            if self.tag[above] in ("article", "main") and size[above] > size[best]:
+                best = above
+            above = self.parent[above]
+        return best
 
     def text(self, path: str | None) -> str:
         """The text inside the elements on the path."""

@@ -352,3 +352,15 @@ def test_quality_script_bands_reject_the_same_junk(spark, lang):
     assert sum(" | " in r["text"] for r in junk) >= 10 and sum("%%%" in r["text"] for r in junk) >= 10 and not any(r["kept"] for r in junk)
     good = [r["kept"] for r in rows if r["quality"] == 1]
     assert len(good) > 300 and sum(good) >= 0.99 * len(good)
+
+
+def host_texts(spark, *pages):
+    rows = [(i, f"https://a.org/{i}", x) for i, x in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in host_paths.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_host_paths_keep_heading_and_lead_around_a_long_body(spark):
+    page = "<body><nav>menu</nav><main><article><h1>Head</h1><p>{}</p><div class=body>{}</div><aside>side</aside></article></main><div>foot</div></body>"
+    lead, long, short = "lead words " * 18, "body words " * 450, "few words"
+    got = host_texts(spark, page.format(lead, long), page.format(lead, long + "more"), page.format(lead, short))
+    assert got == {i: " ".join(f"Head {lead} {x}".split()) for i, x in enumerate((long, long + "more", short))}
