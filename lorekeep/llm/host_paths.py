@@ -41,6 +41,10 @@ BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|complementary|consent|contentinfo|cookie|cookies|disqus|footer|header|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Classes and ids of pages hold such words too (has-sidebar, no-comments), so that html, body and main are never left
+#: out by name, and an article that lies in no other one only by a whole word for what is not the page's own.
+UNNAMED = frozenset("html body main".split())
+FOREIGN = re.compile(r"(?:^|\s)(?:ad|ads|advert|adverts|advertisement|comment|comments|promo|related|replies|reply|sponsor|sponsored)(?:$|\s)", re.I)
 DEPTH_LOSS = 0.9
 
 
@@ -79,7 +83,8 @@ class Page:
                     above = stack[-1]
                     self.parent.append(above)
                     self.path.append(f"{self.path[above]}>{own}")
-                    self.out.append(self.out[above] or tag in LEFT_OUT or bool(names and BOILERPLATE.search(names)))
+                    marks = FOREIGN if tag == "article" and not any(self.tag[k] == "article" for k in stack) else BOILERPLATE
+                    self.out.append(self.out[above] or tag in LEFT_OUT or bool(names and tag not in UNNAMED and marks.search(names)))
                     self.tag.append(tag)
                     stack.append(len(self.tag) - 1)
 

@@ -364,3 +364,8 @@ def test_host_paths_keep_heading_and_lead_around_a_long_body(spark):
     lead, long, short = "lead words " * 18, "body words " * 450, "few words"
     got = host_texts(spark, page.format(lead, long), page.format(lead, long + "more"), page.format(lead, short))
     assert got == {i: " ".join(f"Head {lead} {x}".split()) for i, x in enumerate((long, long + "more", short))}
+
+
+def test_host_paths_read_pages_whose_own_names_hold_boilerplate_words(spark):
+    page = "<html class=no-search><body class='has-sidebar'><main class='search results'><article class='post no-comments'>Own text{}<article class=comment>A reply</article><div class=sidebar>side</div></article><article class=comment>Another reply</article></main></body></html>"
+    assert host_texts(spark, page.format(1), page.format(2)) == {0: "Own text1", 1: "Own text2"}
