@@ -468,7 +468,7 @@ ENDS = "ends AS (SELECT arg_min(src_id, seq) AS s, arg_max(dst_id, seq) AS t FRO
 def graph_shortest_path_len(spark, d):
     edges = G.materialised(derive.edges(spark, d), "edges")
     src, dst = ends(edges)
-    path = G.shortest_path(edges, src, dst, 12)
+    path = G.shortest_path(edges, src, dst)
     return spark.createDataFrame([(src, dst, len(path) - 1)], "src_id string, dst_id string, hops int")
 
 

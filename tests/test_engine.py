@@ -346,3 +346,13 @@ def test_percentiles_running_totals_health(spark):
     assert sorted(x["run"] for x in G.error_runs(o).collect()) == [1, 2, 5]
     u = stats.uniformity(spark.createDataFrame([(10,), (10,), (13,), (7,)], "n long")).first()
     assert u["mean"] == 10 and u["chi_square"] == pytest.approx(1.8) and u["chi_passes"] and u["spread"] == 6
+
+
+def test_shortest_path_length_has_no_cap(spark, monkeypatch):
+    from lorekeep.plans import catalogue
+
+    chain = [(f"n{i}", f"n{i + 1}", "follows") for i in range(14)]
+    g = G.Graph.empty(spark).add_edges(chain)
+    monkeypatch.setattr(catalogue.derive, "edges", lambda *_: g.edges)
+    row = catalogue.QUERIES["graph_shortest_path_len"](spark, "").first()
+    assert tuple(row) == ("n0", "n14", len(model_path(chain, "n0", "n14")) - 1) == ("n0", "n14", 14)
