@@ -1,13 +1,13 @@
-"""Substring deduplication by compacting a De Bruijn graph of token k-mers.
+"""Substring deduplication over sampled edges of a De Bruijn graph of token k-mers, without compacting it to paths.
 
 The edges of the graph are k-mers of words, sampled so that every window of ``WINDOW`` words names exactly one of its
 k-mers (the one with the least hash, the leftmost of equals); equal windows name equal edges. The windows that name one
 occurrence of an edge are neighbours and make up its *neighbourhood*. Spark joins then settle the edges:
 
 * an edge that occurs once has no repeated window;
-* an edge all of whose occurrences have one neighbourhood does not branch: all its windows are repeated, and runs of
-  such edges in a text compact to one path, whatever their length;
-* an edge that branches is split by neighbourhood. A neighbourhood that is found twice is a repeated path too; for one
+* an edge all of whose occurrences have one neighbourhood (by a 64-bit hash, without source coordinates) does not
+  branch: all its windows are repeated. Spans are collected for each text; no edge is joined to the next;
+* an edge that branches is split by neighbourhood. A neighbourhood that is found twice is repeated too; for one
   that is found once, and for one witness of each repeated one, the source coordinates lead back to the text and every
   window is compared by a 128-bit hash.
 
