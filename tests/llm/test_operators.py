@@ -276,6 +276,47 @@ def test_ngram_join_on_chains(spark):
     assert got == brute_components(dict(rows))
 
 
+def near_copies(base: str, n: int, edits: list[int], seed: int, same: int = 0) -> list[str]:
+    """Edited copies of a text; ``same``: so many of the edits come from a common list, so that some edits agree."""
+    r, out, words = random.Random(seed), [], base.split(" ")
+    for i in range(n):
+        own = list(words)
+        for p in r.sample(range(len(words)), edits[i % len(edits)]):
+            own[p] = f"agreed{p}" if r.random() < same / 10 else f"edit{i}x{p}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_ngram_join_on_a_large_group_of_near_copies(spark):
+    base = prose(71, 150)
+    texts = near_copies(base, 700, [1, 2, 3, 4, 6, 9, 12], 5, same=6)
+    rows = [(10_000 - i, t) for i, t in enumerate(texts)]
+    want = brute_components(dict(rows))
+    assert 1 < len({c for _, c in want.values()}) < len(rows) and max(Counter(c for _, c in want.values()).values()) > 300
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    for frequent, seen in ((1 << 18, 12), (7, 1)):  # they steer the order and the repetitions, never the result
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_components(table, frequent, seen).collect()}
+        assert got == want
+
+
+def test_ngram_join_at_the_bound(spark):
+    """Sets of 100 and 80 of these shingles are at 0.8; of 79 just below; 99 shared of 110 with 11 and 11 others, just below."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words[:104])), (2, " ".join(words[:84])), (3, " ".join(words[200:304])), (4, " ".join(words[200:283])), (5, " ".join(words[:84] + ["tail"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_components(table).collect()}
+    assert got == brute_components(dict(rows)) and got[2] == (80, 1) and got[4] == (79, 4)
+
+
+def test_ngram_join_on_a_passage_in_short_texts(spark):
+    """Many short texts share a passage, without being near, beside some that are near."""
+    passage = prose(72, 40)
+    rows = [(i, f"{prose(300 + i, 12)} {passage} {prose(700 + i, 9)}") for i in range(300)] + [(900 + i, f"{prose(300 + i, 12)} {passage} {prose(700 + i, 8)} odd") for i in range(0, 300, 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_components(table).collect()}
+    assert got == brute_components(dict(rows)) and sum(k != c for k, (_, c) in got.items()) >= 40
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (6, 5), (6, 6), (9, 8), (8, 7), (7, 10)], "a long, b long")
     assert {r["key"]: r["root"] for r in ngram_join.components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 7, 9: 7, 10: 7}
