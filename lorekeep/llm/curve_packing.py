@@ -2,17 +2,19 @@
 
 Each document is tokenised once; its tokens are hashed to a vector of fixed size, which a fixed random matrix projects
 to three dimensions. Their Hilbert key orders the corpus, so that neighbours on the curve are near in content. The
-order is cut to ranges of about equal token counts per task; a range's first token has a known global offset (sums of
-the ranges before it), so every task lays its documents end to end and cuts them at multiples of the sequence length
-with no further exchange. Only the last sequence of all has padding, and that one is padded to a power of two only.
+order is cut to ranges of about equal token counts, four for each shuffle partition; a range's first token has a known
+global offset (sums of the ranges before it), so every task lays its documents end to end and cuts them at multiples of
+the sequence length with no further exchange. Only the last sequence of all has padding, and that one is padded to a power of two only.
 
-Null and empty texts are documents of the one end id. Ties on the curve are ordered by a hash of the id, then the id;
+Null and empty texts are documents of the one end id. Added tokens that stand in a text have their own ids, as the
+library gives them. Ties on the curve are ordered by a hash of the id, then the id;
 equal rows lie next to each other. A text of any length is cut freely over sequences. An empty table gives no pieces.
 Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +29,8 @@ from .common import cut, in_arrow
 SEQUENCE = 4096
 END_ID = 2
 BITS, HASHED, SHOWN = 10, 256, 3
+#: A document counts once more in the bounds of the ranges for each so many tokens.
+WEIGHED = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to int"
 
 
@@ -39,7 +43,11 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        # Added tokens are cut out of the text as it stands, before all else; what lies between is text of its own, in
+        # which other spellings of them, once lower-cased, are plain words.
         self.tokenizer.encode_special_tokens = True
+        self.added = {x.content.encode(): np.array([i], dtype="<u2").tobytes() for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cuts = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -59,6 +67,11 @@ class WordTokens:
 
     def ids(self, raw: bytes) -> bytes:
         """Little-endian unsigned 16-bit ids: the vocabulary has fewer than 65,536. The tokeniser lower-cases anyway."""
+        if self.cuts and len(parts := self.cuts.split(raw)) > 1:
+            return b"".join([self.added.get(x) or self.plain(x) for x in parts])
+        return self.plain(raw)
+
+    def plain(self, raw: bytes) -> bytes:
         get = self.words.get
         parts = [self.miss(w) if (found := get(w)) is None else found for w in raw.lower().split()]
         return b"".join(parts)
@@ -136,7 +149,8 @@ def pack(docs: DataFrame, tokenizer_file: str, ranges: int | None = None) -> Dat
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One row comes to the driver, of as many numbers as there are ranges. Any bounds give the same pieces.
     quantiles = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(tokens.agg(F.percentile_approx("place", F.lit(quantiles).cast("array<double>"), 20 * ranges)).first()[0] or []))
+    weighed = tokens.select("place", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / WEIGHED))))
+    bounds = sorted(set(weighed.agg(F.percentile_approx("place", F.lit(quantiles).cast("array<double>"), 20 * ranges)).first()[0] or []))
     steps = 1 << (max(len(bounds), 1) - 1).bit_length()
     # Binary search in the bounds, unrolled: the number of bounds below the place.
     padded = F.array(*[F.lit(b) for b in bounds + [(1 << 63) - 1] * (steps - len(bounds))]) if bounds else None
