@@ -29,7 +29,7 @@ from .common import in_arrow
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
-ENTRY = np.dtype([("key", "<u8"), ("at", "<u8"), ("host", "<u4"), ("path", "<u4"), ("block", "<u4")])
+ENTRY = np.dtype([("at", "<u8"), ("host", "<u4"), ("path", "<u4"), ("block", "<u4")])
 
 
 def split_url(url: bytes | None) -> tuple[bytes, bytes]:
@@ -43,16 +43,18 @@ def split_url(url: bytes | None) -> tuple[bytes, bytes]:
 
 
 def write_digests(rules: list[tuple[str, str, str]], folder: str) -> str:
-    """Rules (verdict, host, path) as a file: count, sorted entries, strings."""
+    """Rules (verdict, host, path) as a file: count, sorted keys, entries in the order of the keys, strings."""
     made = {h.encode().translate(LOWER) + b"\0" + p.encode(): (h.encode().translate(LOWER), p.encode(), v == "block") for v, h, p in rules}
-    entries, strings = [], b""
+    keys, entries, strings = [], [], b""
     for key, (host, path, block) in made.items():
-        entries.append((xxhash.xxh64_intdigest(key), len(strings), len(host), len(path), block))
+        keys.append(xxhash.xxh64_intdigest(key))
+        entries.append((len(strings), len(host), len(path), block))
         strings += host + path
-    table = np.sort(np.array(entries, dtype=ENTRY), order="key")
+    sorted_keys = np.array(keys, dtype="<u8")
+    order = np.argsort(sorted_keys, kind="stable")
     name = f"digests-{uuid.uuid4().hex}.bin"
     with open(os.path.join(folder, name), "wb") as f:
-        f.write(np.array([len(table)], dtype="<u8").tobytes() + table.tobytes() + strings)
+        f.write(np.array([len(order)], dtype="<u8").tobytes() + sorted_keys[order].tobytes() + np.array(entries, dtype=ENTRY)[order].tobytes() + strings)
     return name
 
 
@@ -60,9 +62,9 @@ class Digests:
     def __init__(self, file: str) -> None:
         whole = np.memmap(file, dtype=np.uint8, mode="r")
         n = int(whole[:8].view("<u8")[0])
-        self.table = whole[8 : 8 + n * ENTRY.itemsize].view(ENTRY)
-        self.keys = np.ascontiguousarray(self.table["key"])
-        self.strings = whole[8 + n * ENTRY.itemsize :]
+        self.keys = whole[8 : 8 + 8 * n].view("<u8")  # searched in the map itself
+        self.table = whole[8 + 8 * n : 8 + n * (8 + ENTRY.itemsize)].view(ENTRY)
+        self.strings = whole[8 + n * (8 + ENTRY.itemsize) :]
         self.lengths = sorted({int(x) for x in self.table["path"]})
 
     def judge(self, urls: list[tuple[bytes, bytes]], default: str) -> tuple[list[str | None], list[str]]:
