@@ -1,20 +1,25 @@
-"""Substring deduplication over sampled edges of a De Bruijn graph of token k-mers, without compacting it to paths.
+"""Substring deduplication by compaction of a De Bruijn graph of token k-mers.
 
 The edges of the graph are k-mers of words, sampled so that every window of ``WINDOW`` words names exactly one of its
 k-mers (the one with the least hash, the leftmost of equals); equal windows name equal edges. The windows that name one
-occurrence of an edge are neighbours and make up its *neighbourhood*. Spark joins then settle the edges:
-
-* an edge that occurs once has no repeated window;
-* an edge all of whose occurrences have one neighbourhood (by a 64-bit hash, without source coordinates) does not
-  branch: all its windows are repeated. Spans are collected for each text; no edge is joined to the next;
-* an edge that branches is split by neighbourhood. A neighbourhood that is found twice is repeated too; for one
-  that is found once, and for one witness of each repeated one, the source coordinates lead back to the text and every
-  window is compared by a 128-bit hash.
+occurrence of an edge are neighbours; an edge and the hash of the words that its windows cover are a *node*, so an edge
+with several surroundings branches into several nodes. Then
+
+* an edge that occurs once has no repeated window and goes;
+* nodes that occur twice or more are linked to what follows them at once in a text. Where all occurrences of a node have
+  one successor, and all of that one this predecessor (out and in degree one), the path does not branch, and joins by
+  pointer doubling compact it: each round doubles how far a node sees, so a path of n nodes takes log2(n) rounds. A chain
+  cannot close to a ring, as the last occurrence in a text has no successor;
+* source coordinates (a key of the text and a first window) lead every occurrence of a path back to its words, and the
+  whole span counts as repeated only if its 128-bit hash is found twice. If two surroundings had one hash by chance,
+  the windows of that path are compared one by one;
+* a node that occurs once on an edge with others is compared window by window, by 128-bit hashes of its words, with the
+  others of its edge and one witness of each node that is repeated.
 
 Windows are judged on the input, so all copies of a repeated passage go, the first included. Null texts have no words;
-texts of fewer words than a window keep all. Equal texts share their coordinates (a key of the text), so a large group
-of copies is one entry. Ties and repeated rows get equal results, an empty table gives no rows, and further columns of
-any name but ``n_words``, ``n_removed`` and ``kept`` pass through.
+texts of fewer words than a window keep all. Equal texts share their coordinates, so a large group of copies is one
+entry of the graph. Ties and repeated rows get equal results and an empty table gives no rows. Further columns pass
+through, whatever their names; those named ``n_words``, ``n_removed`` or ``kept`` are replaced by the results.
 """
 
 from __future__ import annotations
@@ -26,10 +31,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import SPARK_SEED, U64, Powers, Spans, cut, in_arrow, mix, packed, signed
 
 WINDOW, K = 35, 8
+#: Bits of the hash of surroundings; fewer only make more paths fail their verification.
+AROUND_BITS = 64
 FIRST, SECOND = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95)
 
 
@@ -52,7 +60,7 @@ def edges_of(words: np.ndarray) -> tuple[np.ndarray, ...] | None:
     return kmers[place], around, first, count
 
 
-def edges(docs: DataFrame, text: str) -> DataFrame:
+def edges(docs: DataFrame, text: str, around_bits: int) -> DataFrame:
     """Occurrences of sampled edges. A task reports a text that it meets again once more and then no more: whether
     something occurs twice is all that is asked."""
 
@@ -69,6 +77,7 @@ def edges(docs: DataFrame, text: str) -> DataFrame:
                 if met[key] > 2:
                     continue
                 edge, around, first, count = edges_of(hashes_of(words))
+                around = around >> U64(64 - around_bits)
                 for held, values in zip(rows, (edge, around, np.full(len(edge), key, dtype=U64), first, count), strict=True):
                     held.append(values)
             longs = [pa.array(signed(packed(x, U64))) for x in rows[:3]]
@@ -78,71 +87,117 @@ def edges(docs: DataFrame, text: str) -> DataFrame:
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """128-bit hashes of the windows of the edges that are to be compared (texts: key, text, open edges)."""
+    """128-bit hashes of source words (texts: key, text, spans): one for a whole span, else one for each window."""
+    names = ["one", "two", "key", "first", "count", "path"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list[np.ndarray]] = [[], [], [], [], []]
+            rows: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for key, raw, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = hashes_of(raw.split())
-                one, two = Spans(words, FIRST).windows(WINDOW), Spans(mix(words), SECOND).windows(WINDOW)
-                at = np.concatenate([np.arange(s["first"], s["first"] + s["count"]) for s in spans])
-                settled = np.concatenate([np.full(s["count"], s["settled"]) for s in spans])
-                for held, values in zip(rows, (one[at], two[at], np.full(len(at), key, dtype=np.int64).view(U64), at, settled), strict=True):
+                one, two = Spans(words, FIRST), Spans(mix(words), SECOND)
+                first, size, path = (np.array([s[c] for s in spans]) for c in ("first", "count", "path"))
+                alone = np.array([s["whole"] for s in spans])
+                single = np.unique(np.concatenate([np.arange(f, f + c) for f, c in zip(first[~alone], size[~alone], strict=True)])) if (~alone).any() else np.empty(0, np.int64)
+                at = np.concatenate([first[alone], single])
+                n = np.concatenate([size[alone], np.ones(len(single), np.int64)])
+                end = at + n - 1 + WINDOW
+                of = np.concatenate([path[alone], np.zeros(len(single), np.int64)])
+                for held, values in zip(rows, (one.of(at, end), two.of(at, end), np.full(len(at), key, dtype=np.int64).view(U64), at, n, of), strict=True):
                     held.append(values)
             longs = [pa.array(signed(packed(x, U64))) for x in rows[:3]]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array(packed(rows[3], np.int32)), pa.array(packed(rows[4], np.bool_))], ["one", "two", "key", "first", "settled"])
-
-    return in_arrow(texts, step, "one long, two long, key long, first int, settled boolean")
-
-
-def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+            yield pa.RecordBatch.from_arrays([*longs, *(pa.array(packed(x, np.int32)) for x in rows[3:5]), pa.array(packed(rows[5], np.int64))], names)
+
+    return in_arrow(texts, step, "one long, two long, key long, first int, count int, path long")
+
+
+def graph(nodes: DataFrame) -> DataFrame:
+    """node, windows, previous: for each node the one that it continues without a branch, if there is one (nodes: node,
+    key, first, count, each place of a text once)."""
+    order = Window.partitionBy("key").orderBy("first")
+    after, before = F.lead(F.struct("node", "first")).over(order), F.lag(F.struct("node", "first", "count")).over(order)
+    steps = nodes.select("node", "first", "count", after.alias("after"), before.alias("before")).select(
+        "node", "count",
+        F.when(F.col("after.first") == F.col("first") + F.col("count"), F.col("after.node")).alias("out"),
+        F.when(F.col("first") == F.col("before.first") + F.col("before.count"), F.col("before.node")).alias("into"),
+    )
+    one = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c))
+    degrees = cut(steps.groupBy("node").agg(F.max("count").cast("long").alias("windows"), one("out").alias("out"), one("into").alias("into")), "nodes")
+    links = degrees.where("out IS NOT NULL").select(F.col("node").alias("previous"), F.col("out").alias("node"))
+    own = degrees.join(links, "node", "left").select("node", "windows", F.when(F.col("previous") == F.col("into"), F.col("previous")).alias("previous"))
+    return cut(own.groupBy("node").agg(F.max("windows").alias("windows"), F.max("previous").alias("previous")), "graph")
+
+
+def compacted(own: DataFrame) -> DataFrame:
+    """head, windows: the paths of the graph, each by its first node, with the number of windows on it."""
+    now = cut(own.where("previous IS NOT NULL").select("node", F.col("previous").alias("head"), F.lit(True).alias("moved")), "path")
+    while not now.where("moved").isEmpty():
+        far = now.select(F.col("node").alias("head"), F.col("head").alias("farther"))
+        now = cut(now.join(far, "head", "left").select("node", F.coalesce("farther", "head").alias("head"), F.col("farther").isNotNull().alias("moved")), "path")
+    return own.join(now.select("node", "head"), "node", "left").groupBy(F.coalesce("head", "node").alias("head")).agg(F.sum("windows").cast("int").alias("windows"), F.count("*").alias("nodes"))
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", around_bits: int = AROUND_BITS) -> DataFrame:
     """key (of a text), spans: runs of window starts (first, count) whose windows occur elsewhere too."""
-    occurrences = cut(edges(docs, text), "edges")
-    repeated = occurrences.groupBy("edge").agg(F.count("*").alias("n"), (F.min("around") == F.max("around")).alias("straight")).where("n > 1").drop("n")
+    occurrences = cut(edges(docs, text, around_bits), "edges")
+    repeated = occurrences.groupBy("edge").agg(F.count("*").alias("n"), ((F.min("around") == F.max("around")) & (F.min("count") == F.max("count"))).alias("straight")).where("n > 1").drop("n")
     # Sums by key are tables before they are joined: Spark can then split a join whose key is hot.
     met = cut(occurrences.join(cut(repeated, "repeated"), "edge"), "repeated-edges")
     branching = met.where(~F.col("straight"))
-    paths = branching.groupBy("edge", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("witness"))
-    split = branching.join(cut(paths, "paths"), ["edge", "around"]).select(
-        "key", "first", "count", (F.col("n") > 1).alias("settled"), ((F.col("n") == 1) | (F.col("witness") == F.struct("key", "first"))).alias("open")
-    )
-    split = cut(split, "branches")
-    compared = split.where("open").groupBy("key").agg(F.collect_set(F.struct("first", "count", "settled")).alias("spans"))
+    nodes = branching.groupBy("edge", "around", "count").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("witness"))
+    split = branching.join(cut(nodes, "branches"), ["edge", "around", "count"]).select("edge", "around", "key", "first", "count", "n", (F.col("witness") == F.struct("key", "first")).alias("is_witness"))
+    split = cut(split, "split-edges")
+    place = ("key", "first", "count")
+    node = F.xxhash64("edge", "around", "count").alias("node")
+    again = cut(met.where("straight").select(node, *place).unionByName(split.where("n > 1").select(node, *place)).dropDuplicates(["key", "first"]), "repeated-nodes")
+    own = graph(again)
+    paths = cut(compacted(own), "paths")
+    along = again.join(paths.select(F.col("head").alias("node"), "windows"), "node").select("key", "first", F.col("windows").alias("count"), F.lit(True).alias("whole"), F.col("node").alias("path"))
+    lone = split.where("n = 1 OR is_witness").select(*place, F.lit(False).alias("whole"), F.lit(0).cast("long").alias("path"))
     texts = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    found = cut(windows(texts.join(compared, "key")), "windows")
-    twice = found.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
-    twice = cut(twice, "twice")
-    verified = found.where(~F.col("settled")).join(twice, ["one", "two"]).select("key", "first", F.lit(1).alias("count"))
-    settled = met.where("straight").select("key", "first", "count").unionByName(split.where("settled").select("key", "first", "count"))
-    return settled.unionByName(verified).groupBy("key").agg(F.collect_set(F.struct("first", "count")).alias("spans"))
+
+    def compared(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Hashed spans, and those that are found twice."""
+        asked = cut(spans.groupBy("key").agg(F.collect_set(F.struct("first", "count", "whole", "path")).alias("spans")), "asked")
+        found = cut(windows(texts.join(asked, "key")), "windows")
+        twice = cut(found.groupBy("one", "two", "count").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+        return found, found.join(twice, ["one", "two", "count"]).select(*place)
+
+    found, settled = compared(along.unionByName(lone))
+    # A path is repeated as a whole, unless two surroundings had one hash: its windows are then compared one by one.
+    bad = cut(found.where("path <> 0").groupBy("path", "count").agg(F.min("one").alias("a"), F.max("one").alias("b"), F.min("two").alias("c"), F.max("two").alias("d")).where("a <> b OR c <> d").select("path"), "unequal-paths")
+    if not bad.isEmpty():
+        settled = settled.unionByName(compared(along.join(bad, "path").withColumn("whole", F.lit(False)).unionByName(lone))[1])
+    return settled.groupBy("key").agg(F.collect_set(F.struct("first", "count")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", around_bits: int = AROUND_BITS) -> DataFrame:
     """The rows of ``docs`` with n_words, n_removed and kept (the words that stay, joined by one space)."""
-    spans = repeated_spans(docs, text).withColumnRenamed("key", "_key").withColumnRenamed("spans", "_spans")
-    joined = docs.withColumn("_key", F.xxhash64(text)).join(spans, "_key", "left").drop("_key")
-    names = [c for c in joined.columns if c not in ("_spans", "n_words", "n_removed", "kept")]
-    place = joined.columns.index(text)
+    spans = cut(repeated_spans(docs, text, around_bits), "spans")
+    results = ["n_words", "n_removed", "kept"]
+    fields = [f for f in docs.schema if f.name not in results or f.name == text]
+    # Columns go by number, so that no name can clash.
+    own = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("own_text"), *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)))
+    passed = [i for i, f in enumerate(fields) if f.name not in results]
+    joined = own.join(spans, "key", "left").select("own_text", "spans", *(f"c{i}" for i in passed))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            for raw, own in zip(batch.column(place).cast(pa.large_binary()).to_pylist(), batch.column(batch.schema.get_field_index("_spans")).to_pylist(), strict=True):
+            for raw, runs in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = raw.split() if raw else []
                 gone = 0
-                if own:
+                if runs:
                     edge = np.zeros(len(words) + 1, dtype=np.int32)
-                    first = np.array([s["first"] for s in own])
+                    first = np.array([s["first"] for s in runs])
                     np.add.at(edge, first, 1)
-                    np.add.at(edge, first + np.array([s["count"] for s in own]) - 1 + WINDOW, -1)
+                    np.add.at(edge, first + np.array([s["count"] for s in runs]) - 1 + WINDOW, -1)
                     stays = np.cumsum(edge[:-1]) == 0
                     gone = len(words) - int(stays.sum())
                 counts.append(len(words))
                 removed.append(gone)
                 kept.append(b" ".join([w for w, s in zip(words, stays.tolist(), strict=True) if s] if gone else words))
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*batch.schema.names[2:], *results])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(names).schema)
-    return in_arrow(joined, step, f"{schema}, n_words long, n_removed long, kept string")
+    schema = "".join(f"`c{i}` {fields[i].dataType.simpleString()}, " for i in passed)
+    return in_arrow(joined, step, f"{schema}n_words long, n_removed long, kept string").toDF(*(fields[i].name for i in passed), *results)

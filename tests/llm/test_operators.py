@@ -118,7 +118,9 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(word_file())
-    t.encode_special_tokens = True
+    odd = ["<|endoftext|>", "a<|startoftext|>B", "x <|endoftext|><|endoftext|>, y", "<|ENDOFTEXT|> <|endof text|>", "end <|startoftext|"]
+    rows = [(200 + i, x, None, None, 0, -1, "k", 0.0, "r") for i, x in enumerate(odd)]
+    docs = docs.union(docs.sparkSession.createDataFrame(rows, SCHEMA))
     ids = {k: [*t.encode(x, add_special_tokens=False).ids, 2] for k, x in texts_of(docs).items()}
     pieces = curve_packing.pack(docs, word_file()).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -177,6 +179,33 @@ def test_substring_dedup_on_branching_texts(spark):
     assert got == brute_removed(dict(rows))
 
 
+def test_substring_dedup_verifies_spans_from_their_sources(spark):
+    """Surroundings hashed to two bits: paths hold texts that differ, which only the source words can tell."""
+    base = prose(12, 300)
+    texts = [*near_copies(base, 25, [0, 1, 2], 4, same=4), *(prose(900 + i, 120) for i in range(5))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept"]) for x in graph_spans.remove_repeats(table, around_bits=2).collect()}
+    assert got == brute_removed(dict(enumerate(texts)))
+
+
+def test_paths_are_compacted(spark):
+    """1-2-3-4 twice, 5 after 4 in one text only, 7 before 2 in no text: one path of four nodes, then single ones."""
+    rows = [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 5), ("b", 1), ("b", 2), ("b", 3), ("b", 4), ("b", 6), ("c", 5), ("c", 6), ("c", 6)]
+    places = [(node, ord(key), 10 * i, 10) for i, (key, node) in enumerate(rows)]
+    nodes = spark.createDataFrame([*places, (1, ord("d"), 500, 10), (2, ord("d"), 510, 10), (3, ord("d"), 520, 10), (4, ord("d"), 530, 10)], "node long, key long, first int, count int")
+    paths = {r["head"]: (r["windows"], r["nodes"]) for r in graph_spans.compacted(graph_spans.graph(nodes)).collect()}
+    assert paths == {1: (40, 4), 5: (10, 1), 6: (10, 1)}
+    long = spark.createDataFrame([(n, k, 3 * n, 3) for n in range(1, 1001) for k in (1, 2)], "node long, key long, first int, count int")
+    assert [tuple(r) for r in graph_spans.compacted(graph_spans.graph(long)).collect()] == [(1, 3000, 1000)]
+
+
+def test_substring_dedup_keeps_columns_of_any_name(spark):
+    rows = [(None, PASSAGE, 1, "s", "k", 5), (1, PASSAGE, 2, "t", "l", 6), (2, None, 3, "u", "m", 7)]
+    out = graph_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, _key int, spans string, kept string, c0 int"))
+    assert out.columns == ["doc_id", "text", "_key", "spans", "c0", "n_words", "n_removed", "kept"]
+    assert sorted((r["_key"], r["spans"], r["c0"], r["n_removed"], r["kept"]) for r in out.collect()) == [(1, "s", 5, 60, ""), (2, "t", 6, 60, ""), (3, "u", 7, 0, "")]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 40, 41, 1000])
 def test_feistel_is_a_permutation(spark, n):
     got = [r[0] for r in spark.range(n).select(feistel_shards.permuted(F.col("id"), n, 7)).collect()] if n else []
