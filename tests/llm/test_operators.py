@@ -439,3 +439,76 @@ def test_host_paths_keep_heading_and_lead_around_a_long_body(spark):
 def test_host_paths_read_pages_whose_own_names_hold_boilerplate_words(spark):
     page = "<html class=no-search><body class='has-sidebar'><main class='search results'><article class='post no-comments'>Own text{}<article class=comment>A reply</article><div class=sidebar>side</div></article><article class=comment>Another reply</article></main></body></html>"
     assert host_texts(spark, page.format(1), page.format(2)) == {0: "Own text1", 1: "Own text2"}
+
+
+def test_host_paths_read_odd_markup():
+    read = lambda html: host_paths.main_text(html, None)[0]
+    assert read("<p>bare &eacute; text</p>") == "bare é text"
+    assert read("<body class='single no-comments'><div class='content-with-sidebar'><p class=it's>A b</p></div></body>") == "A b"
+    assert read("<svg viewBox='0 0 1 1' /><article class='related-works'><p>Art</p></article>") == "Art"
+    assert read("<svg><title>t</title><path d='M0'/></svg><p>after</p>") == "after"
+    assert read("<form id=main><div><h1>T</h1><p>para</p></div><nav>n</nav></form>") == "T para"
+    assert read("<form><input>sign in</form>") == "" and read("<p>x<script>never closed <p>y") == "x"
+    assert read("</>a<b>c</ x>d<1 &lt;") == "acd<1 <" and read("<div>x</div><a \"") == "x" and read("a<!-->b<!-- c") == "ab"
+    assert read("<article data-class='sidebar' title='class=ad'>own</article>") == "own"
+
+
+@pytest.mark.parametrize("bad", ['<a "', '<a x="', "<svg>", "<!--", "<script>", "</a ", "<", "<div class=", "<a b='", "<div>x", "<article>x</p>", "<div>x</section>", "&", "<!["])
+def test_host_paths_read_hostile_pages_in_one_pass(bad):
+    import time
+
+    began = time.time()
+    host_paths.main_text(bad * 100_000, None)
+    assert time.time() - began < 5
+
+
+def walked(html: str) -> str:
+    """Main text by the standard library's parser, for flat pages: all blocks outside what is left out."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.got = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("br", "hr", "img", "input", "meta", "link"):
+                names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+                left = tag in ("head", "nav", "header", "footer", "aside", "form", "script", "style", "noscript") or (tag not in ("html", "body", "main") and bool(host_paths.BOILERPLATE.search(names)))
+                self.open.append((tag, left))
+            if tag not in host_paths.INLINE:
+                self.got.append("\n")
+
+        def handle_endtag(self, tag):
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] == tag:
+                    del self.open[k:]
+                    break
+            if tag not in host_paths.INLINE:
+                self.got.append("\n")
+
+        def handle_data(self, data):
+            tags = [t for t, _ in self.open]
+            if not any(left for _, left in self.open) and ("article" in tags or "main" in tags):
+                self.got.append(data)
+
+    walk = Walk()
+    walk.feed(html)
+    walk.close()
+    return " ".join("".join(walk.got).split())
+
+
+def test_host_paths_agree_with_a_tree_walk(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in host_paths.extract(pages).collect()}
+    flat = {k: x for k, x in html.items() if x and ("<article" in x or "<main" in x)}
+    assert got.keys() == html.keys() and len(flat) > 20
+    assert {k: got[k] for k in flat} == {k: walked(x) for k, x in flat.items()}
+
+
+def test_host_paths_salt_the_pages_of_hosts_too_many_to_send(spark):
+    rows = [(i, f"https://h{i % 3}.org/{i}", PAGE % i) for i in range(30)] + [(90, None, "<p>bare"), (91, "https://h1.org/x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sent, salted = ({r["page_id"]: (r["text"], r["path"]) for r in host_paths.extract(pages, most).collect()} for most in (50_000, 0))
+    assert sent == salted and len(sent) == 32
