@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none (as in tests)."""
+    """The folder that driver and executors share; a temporary one only where none is named and all runs in one process
+    (as in tests): elsewhere executors would write where nobody else can read."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lorekeep-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
