@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from lorekeep.functions import keys
 
+from .running import with_era
+
 SHARDS = 32
 
 
@@ -97,14 +99,20 @@ class KVTable:
 
 def counters(log: DataFrame) -> DataFrame:
     """Read-modify-write of a counter: the number of increments since the key's last removal."""
-    w = Window.partitionBy("key").orderBy("lsn")
-    removed = F.max(F.when(F.col("op") == "DELETE", F.col("lsn"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return log.where(F.col("op").isin("PUT", "DELETE")).withColumn("removed", F.coalesce(removed, F.lit(-1))).where("op = 'PUT' AND lsn > removed").groupBy("key").agg(F.count("*").alias("counter"))
+    return since_removal(log).groupBy("key").agg(F.count("*").alias("counter"))
+
+
+def since_removal(log: DataFrame) -> DataFrame:
+    """The PUTs of each key after its last DELETE and the last CLEAR. Removals are one row a key before the join."""
+    removed = log.where("op = 'DELETE'").groupBy("key").agg(F.max("lsn").alias("removed"))
+    cleared = log.where("op = 'CLEAR'").agg(F.coalesce(F.max("lsn"), F.lit(-1)).alias("cleared"))  # one row
+    puts = log.where("op = 'PUT'").crossJoin(F.broadcast(cleared)).where("lsn > cleared").drop("cleared")
+    return puts.join(removed, "key", "left").where("removed IS NULL OR lsn > removed").drop("removed")
 
 
 def appended_lists(log: DataFrame) -> DataFrame:
-    """Read-modify-write of a list: values in the order of their first append, each once."""
-    first = log.where("op = 'PUT'").groupBy("key", "value").agg(F.min("lsn").alias("lsn"))
+    """Read-modify-write of a list: values since the key's last removal in the order of their first append, each once."""
+    first = since_removal(log).groupBy("key", "value").agg(F.min("lsn").alias("lsn"))
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("lsn", "value"))), lambda x: x["value"])
     return first.groupBy("key").agg(in_order.alias("items"))
 
@@ -116,10 +124,12 @@ def fold(log: DataFrame, change, schema: str) -> DataFrame:
 
 def as_of(lookups: DataFrame, log: DataFrame, on: str = "key", at: str = "lsn") -> DataFrame:
     """As-of join: each lookup (columns ``on``, ``at``, lookup_id) with the last write at or before it; null if there
-    is none or it removed the key. Both sides meet in one exchange and one sorted pass."""
+    is none, it removed the key, or a CLEAR came after it. Both sides meet in one exchange and one sorted pass."""
     nothing = F.lit(None)
-    writes = log.where(F.col("op").isin("PUT", "DELETE")).select(on, at, F.lit(0).alias("side"), nothing.cast("long").alias("lookup_id"), F.struct("op", "value", F.col("lsn").alias("write_lsn")).alias("w"))
-    reads = lookups.select(on, at, F.lit(1).alias("side"), F.col("lookup_id").cast("long").alias("lookup_id"), nothing.cast("struct<op:string,value:string,write_lsn:bigint>").alias("w"))
+    clears = log.where("op = 'CLEAR'").select(F.col(at), F.col("op"))
+    asked = with_era(lookups.withColumn("op", F.lit("GET")).unionByName(clears, allowMissingColumns=True), at).where("op = 'GET'")
+    writes = with_era(log, at).where(F.col("op").isin("PUT", "DELETE")).select(on, at, F.lit(0).alias("side"), nothing.cast("long").alias("lookup_id"), F.struct("op", "value", F.col("lsn").alias("write_lsn"), "era").alias("w"), "era")
+    reads = asked.select(on, at, F.lit(1).alias("side"), F.col("lookup_id").cast("long").alias("lookup_id"), nothing.cast("struct<op:string,value:string,write_lsn:bigint,era:bigint>").alias("w"), "era")
     order = Window.partitionBy(on).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
     seen = writes.unionByName(reads).withColumn("last", F.last("w", ignorenulls=True).over(order)).where("side = 1")
-    return seen.select("lookup_id", on, at, F.when(F.col("last.op") == "PUT", F.col("last.value")).alias("value"), "last.write_lsn")
+    return seen.select("lookup_id", on, at, F.when((F.col("last.op") == "PUT") & (F.col("last.era") == F.col("era")), F.col("last.value")).alias("value"), "last.write_lsn")

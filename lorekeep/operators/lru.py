@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 from lorekeep.functions import keys
 
 PROMOTE_MS = 1000
+ZERO = dict.fromkeys(("hits", "misses", "expired", "evictions", "puts", "removes"), 0)
 STATS = "shard int, hits long, misses long, expired long, evictions long, puts long, removes long, size long, peak_size long"
 
 
@@ -25,14 +27,21 @@ def resident_put_only(log: DataFrame, capacity: int, shards: int) -> DataFrame:
 def simulate(log: DataFrame, capacity: int, shards: int) -> DataFrame:
     """Exact counters by shard with eviction, expiry and throttled promotion: a hit moves a key to the front only if
     more than a second has passed since it was last promoted. Each step depends on the outcome of those before, so a
-    shard is one sequential run; shards are the parallelism, and the table's shard count is the knob."""
+    shard is one sequential run; shards are the parallelism, and the table's shard count is the knob. A shard's rows
+    stream through in batches, in order: a task holds its cache (``capacity`` entries) and no more. A CLEAR empties all
+    shards and leaves their counters."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("lsn")
-        cache: OrderedDict[str, list[int]] = OrderedDict()  # key: expiry, last promotion; the front is the last item
-        n = dict.fromkeys(("hits", "misses", "expired", "evictions", "puts", "removes"), 0)
-        peak = 0
-        for op, key, ts, ttl in zip(rows["op"], rows["key"], rows["ts_ms"], rows["ttl_ms"], strict=True):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, cache, n, peak = None, OrderedDict(), dict(ZERO), 0  # key: expiry, last promotion; the front is the last item
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame([{"shard": shard, **n, "size": len(cache), "peak_size": peak}])
+
+        for own, op, key, ts, ttl in (row for b in batches for row in zip(b["shard"], b["op"], b["key"], b["ts_ms"], b["ttl_ms"], strict=True)):
+            if own != shard:
+                if shard is not None:
+                    yield told()
+                shard, cache, n, peak = own, OrderedDict(), dict(ZERO), 0
             entry = cache.get(key)
             if op == "GET":
                 if entry is None:
@@ -61,7 +70,12 @@ def simulate(log: DataFrame, capacity: int, shards: int) -> DataFrame:
             elif op == "DELETE" and entry is not None:
                 del cache[key]
                 n["removes"] += 1
-        return pd.DataFrame([{"shard": rows["shard"].iloc[0], **n, "size": len(cache), "peak_size": peak}])
+            elif op == "CLEAR":
+                cache.clear()
+        if shard is not None:
+            yield told()
 
-    dealt = log.withColumn("shard", keys.shard(F.col("key"), shards)).select("shard", "lsn", "ts_ms", "op", "key", "ttl_ms")
-    return dealt.groupBy("shard").applyInPandas(run, STATS)
+    every = F.array(*[F.lit(k) for k in range(shards)])
+    places = F.explode(F.when(F.col("op") == "CLEAR", every).otherwise(F.array(keys.shard(F.col("key"), shards))))
+    dealt = log.select(places.alias("shard"), "lsn", "ts_ms", "op", "key", "ttl_ms")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "lsn").mapInPandas(run, STATS)

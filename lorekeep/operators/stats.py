@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .running import running_total, with_era
 from .ttl import epochs
 
 
@@ -15,12 +16,19 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def with_removals(log: DataFrame) -> DataFrame:
-    """Epochs with what became of each: whether a PUT met the key absent (inserted), whether a DELETE met it (removed)."""
+    """Epochs with what became of each: whether a PUT met the key absent (inserted), whether a DELETE met it (removed),
+    and the CLEAR that ended the entry, if one did (cleared_lsn)."""
     e = epochs(log)
     w = Window.partitionBy("key").orderBy("write_no")
-    there = (F.lag("op").over(w) == "PUT") & (F.coalesce(F.lag("late").over(w), F.lit(0)) == 0)
+    there = (F.lag("op").over(w) == "PUT") & (F.coalesce(F.lag("late").over(w), F.lit(0)) == 0) & (F.lag("era").over(w) == F.col("era"))
     there = F.coalesce(there, F.lit(False))
-    return e.withColumn("removed", (F.col("op") == "DELETE") & there).withColumn("inserted", (F.col("op") == "PUT") & ~there)
+    last = F.coalesce(F.lead("era").over(w) != F.col("era"), F.lit(True))
+    e = e.withColumn("last", last & (F.col("op") == "PUT") & (F.col("late") == 0)).withColumn("removed", (F.col("op") == "DELETE") & there).withColumn("inserted", (F.col("op") == "PUT") & ~there)
+    clears = log.where("op = 'CLEAR'")
+    if clears.isEmpty():
+        return e.withColumn("cleared_lsn", F.lit(None).cast("long"))
+    ends = with_era(log).where("op = 'CLEAR'").groupBy((F.col("era") - 1).alias("era")).agg(F.min("lsn").alias("end_lsn"))
+    return e.join(ends, "era", "left").withColumn("cleared_lsn", F.when(F.col("last"), F.col("end_lsn"))).drop("end_lsn")
 
 
 def cache_stats(log: DataFrame, capacity: int, now_ms: int | None = None) -> DataFrame:
@@ -29,7 +37,7 @@ def cache_stats(log: DataFrame, capacity: int, now_ms: int | None = None) -> Dat
     n = e.agg(
         F.sum("hits").alias("hits"), F.sum("misses").alias("misses"), F.count_if(F.col("late") > 0).alias("expired"), F.count_if(F.col("op") == "PUT").alias("puts"),
         F.count_if("removed").alias("removes"),
-        (F.count_if("inserted") - F.count_if("removed") - F.count_if((F.col("op") == "PUT") & (F.col("late") > 0))).alias("size"),
+        (F.count_if("inserted") - F.count_if("removed") - F.count_if((F.col("op") == "PUT") & (F.col("late") > 0)) - F.count("cleared_lsn")).alias("size"),
     )
     times = log.agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("last_access_ms"))
     rows = n.crossJoin(F.broadcast(times))  # one row each
@@ -42,26 +50,14 @@ def cache_stats(log: DataFrame, capacity: int, now_ms: int | None = None) -> Dat
     )
 
 
-def running_total(df: DataFrame, order: str, delta: str, ranges: int = 64) -> DataFrame:
-    """``df`` with ``total``: the sum of ``delta`` up to each row in a global order, in two levels. Ranges of the order
-    are summed first (a row each), so no task sees all rows."""
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, ((hi or 0) - (lo or 0)) // ranges + 1)
-    cut = df.withColumn("_range", F.floor((F.col(order) - F.lit(lo or 0)) / width).cast("int"))
-    sums = cut.groupBy("_range").agg(F.sum(delta).alias("_sum"))  # ranges + 1 rows at most
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.sum(delta).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = cut.join(F.broadcast(sums.withColumn("_before", before).drop("_sum")), "_range")
-    return joined.withColumn("total", F.col("_before") + own).drop("_range", "_before")
-
-
 def size_changes(log: DataFrame) -> DataFrame:
-    """lsn, delta: +1 where a key is inserted, -1 where it is removed or dies of a late read."""
+    """lsn, delta: +1 where a key is inserted, -1 where it is removed, cleared or dies of a late read."""
     e = with_removals(log)
     changes = F.array(
         F.when(F.col("inserted"), F.struct(F.col("lsn").alias("lsn"), F.lit(1).alias("delta"))),
         F.when(F.col("removed"), F.struct(F.col("lsn").alias("lsn"), F.lit(-1).alias("delta"))),
         F.when((F.col("op") == "PUT") & (F.col("late") > 0), F.struct(F.col("first_late_lsn").alias("lsn"), F.lit(-1).alias("delta"))),
+        F.when(F.col("cleared_lsn").isNotNull(), F.struct(F.col("cleared_lsn").alias("lsn"), F.lit(-1).alias("delta"))),
     )
     return e.select(F.explode(F.array_compact(changes)).alias("c")).select("c.lsn", "c.delta")
 
@@ -108,8 +104,8 @@ def hit_percent(hits: Column, misses: Column) -> Column:
 
 def relative(df: DataFrame, qps: str) -> DataFrame:
     """Share of the best and the drop from it, in percent."""
-    best = F.max(qps).over(Window.partitionBy())
-    return df.withColumn("of_best_percent", 100 * F.col(qps) / best).withColumn("drop_percent", 100 - F.col("of_best_percent"))
+    best = df.agg(F.max(qps).alias("_best"))  # one row
+    return df.crossJoin(F.broadcast(best)).withColumn("of_best_percent", 100 * F.col(qps) / F.col("_best")).drop("_best").withColumn("drop_percent", 100 - F.col("of_best_percent"))
 
 
 def speedup(single_s: Column, batch_s: Column, n: Column) -> Column:

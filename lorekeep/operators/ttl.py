@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kv import expiry, live
+from .running import with_era
 
 
 def sweep(state: DataFrame, now_ms: int, shard: int = -1) -> tuple[DataFrame, DataFrame]:
@@ -40,18 +41,19 @@ def sweep_stats(rounds: DataFrame, shards: int, sample: int, interval_ms: int) -
 
 def epochs(log: DataFrame) -> DataFrame:
     """One row for each write with what was read of it: (key, write_no, op, lsn, ts_ms, expiry_ms, hits, late, misses,
-    first_late_lsn). The first read after an entry's expiry removes it and counts as expired and as a miss; further
-    ones are plain misses. Write 0 stands for the time before a key's first write. Timestamps follow the LSN."""
+    first_late_lsn, era). The first read after an entry's expiry removes it and counts as expired and as a miss; further
+    ones are plain misses, and so are reads after a CLEAR (era: the CLEARs before the write). Write 0 stands for the
+    time before a key's first write. Timestamps follow the LSN."""
     write = F.col("op").isin("PUT", "DELETE")
-    numbered = log.where(F.col("op") != "CLEAR").withColumn("write_no", F.sum(write.cast("long")).over(Window.partitionBy("key").orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = with_era(log).where(F.col("op") != "CLEAR").withColumn("write_no", F.sum(write.cast("long")).over(Window.partitionBy("key").orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0)))
     own = Window.partitionBy("key", "write_no").orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0)
-    put = F.first(F.when(write, F.struct("op", "lsn", "ts_ms", expiry(F.col("ts_ms"), F.col("ttl_ms")).alias("expiry_ms"))), ignorenulls=True).over(own)
+    put = F.first(F.when(write, F.struct("op", "lsn", "ts_ms", "era", expiry(F.col("ts_ms"), F.col("ttl_ms")).alias("expiry_ms"))), ignorenulls=True).over(own)
     seen = numbered.withColumn("w", put)
     read = F.col("op") == "GET"
-    there = read & (F.coalesce(F.col("w.op"), F.lit("")) == "PUT")
+    there = read & (F.coalesce(F.col("w.op"), F.lit("")) == "PUT") & (F.col("w.era") == F.col("era"))
     late = there & (F.col("w.expiry_ms") > 0) & (F.col("ts_ms") > F.col("w.expiry_ms"))
     return seen.groupBy("key", "write_no").agg(
         F.first("w.op", ignorenulls=True).alias("op"), F.first("w.lsn", ignorenulls=True).alias("lsn"), F.first("w.ts_ms", ignorenulls=True).alias("ts_ms"),
         F.first("w.expiry_ms", ignorenulls=True).alias("expiry_ms"), F.count_if(there & ~late).alias("hits"), F.count_if(late).alias("late"),
-        F.count_if(read & ~(there & ~late)).alias("misses"), F.min(F.when(late, F.col("lsn"))).alias("first_late_lsn"),
+        F.count_if(read & ~(there & ~late)).alias("misses"), F.min(F.when(late, F.col("lsn"))).alias("first_late_lsn"), F.first("w.era", ignorenulls=True).alias("era"),
     )

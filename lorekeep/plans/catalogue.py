@@ -15,7 +15,7 @@ from lorekeep.functions import checksum, codec, keys, resp
 from lorekeep.functions import vectors as V
 from lorekeep.operators import graph as G
 from lorekeep.operators import kv, lru, rag, similar, stats, ttl
-from lorekeep.sources import group_commit, oplog
+from lorekeep.sources import group_commit, oplog, tables
 from lorekeep.streaming import apply
 
 from . import derive
@@ -134,7 +134,7 @@ def kv_counter_rmw(spark, d):
     return kv.counters(derive.log(spark, d))
 
 
-@query(f"WITH {LOG}, firsts AS (SELECT key, value, min(lsn) AS lsn FROM log WHERE op = 'PUT' GROUP BY ALL) SELECT key, list(value ORDER BY lsn) AS items FROM firsts GROUP BY key")
+@query(f"WITH {LOG}, gone AS (SELECT key, max(lsn) AS removed FROM log WHERE op = 'DELETE' GROUP BY key), firsts AS (SELECT key, value, min(lsn) AS lsn FROM log LEFT JOIN gone USING (key) WHERE op = 'PUT' AND lsn > coalesce(removed, -1) GROUP BY ALL) SELECT key, list(value ORDER BY lsn) AS items FROM firsts GROUP BY key")
 def kv_list_append_dedupe(spark, d):
     return kv.appended_lists(derive.log(spark, d))
 
@@ -160,6 +160,23 @@ def kv_point_in_time(spark, d):
     return kv.state(log, (log.agg(F.max("lsn")).first()[0] or 0) // 2).select("key", "value", "lsn")
 
 
+def cleared_log(spark, d):
+    """The log with a CLEAR in place of what stands in the middle."""
+    log = derive.log(spark, d)
+    mid = (log.agg(F.max("lsn")).first()[0] or 0) // 2
+    return log.withColumn("op", F.when(F.col("lsn") == mid, "CLEAR").otherwise(F.col("op")))
+
+
+CLEARED = LOG.replace("log AS (", "plain AS (") + """, mid AS (SELECT max(lsn) // 2 AS m FROM plain), log AS (SELECT * REPLACE (CASE WHEN lsn = m THEN 'CLEAR' ELSE op END AS op) FROM plain, mid)"""
+
+
+@query(f"""WITH {CLEARED}, writes AS (SELECT key, lsn, op, value FROM log WHERE op IN ('PUT', 'DELETE')), reads AS (SELECT lsn AS lookup_id, key, lsn FROM log WHERE op = 'GET')
+SELECT r.lookup_id, r.key, r.lsn, CASE WHEN w.op = 'PUT' AND NOT (w.lsn < m AND r.lsn > m) THEN w.value END AS value, w.lsn AS write_lsn FROM mid, reads r ASOF LEFT JOIN writes w ON r.key = w.key AND r.lsn >= w.lsn""")
+def kv_asof_after_clear(spark, d):
+    log = cleared_log(spark, d)
+    return kv.as_of(log.where("op = 'GET'").select("key", "lsn", F.col("lsn").alias("lookup_id")), log)
+
+
 @query(f"WITH {STATE}, asked AS (SELECT 'user_' || c_custkey AS key FROM customer) SELECT a.key, s.value FROM asked a LEFT JOIN (SELECT key, value FROM state, clock WHERE {LIVE}) s USING (key)")
 def kv_multi_get(spark, d):
     log = derive.log(spark, d)
@@ -189,12 +206,34 @@ def lru_resident_put_only(spark, d):
     return lru.resident_put_only(derive.log(spark, d), CAPACITY, SHARDS)
 
 
-@query()
+@query(f"""WITH {LOG}, puts AS (SELECT {SHARD} AS shard, key, lsn, lag(lsn) OVER (PARTITION BY key ORDER BY lsn) AS before FROM log WHERE op = 'PUT'), met AS (
+  SELECT shard, key, before IS NULL OR (SELECT count(DISTINCT o.key) FROM puts o WHERE o.shard = p.shard AND o.lsn > p.before AND o.lsn < p.lsn) >= {CAPACITY} AS missed FROM puts p
+) SELECT shard, count(*) AS puts, greatest(count(*) FILTER (missed) - {CAPACITY}, 0) AS evictions, least(count(DISTINCT key), {CAPACITY}) AS size FROM met GROUP BY shard""")
 def lru_evictions_put_only(spark, d):
     return lru.simulate(derive.log(spark, d).where("op = 'PUT'"), CAPACITY, SHARDS).select("shard", "puts", "evictions", "size")
 
 
-@query()
+def lru_sql(log: str) -> str:
+    """A shard's cache as a list, the front last, one operation of each shard at a time."""
+    return f"""WITH RECURSIVE {log}, each AS (
+  SELECT lsn, ts_ms, ttl_ms, key, op, {SHARD} AS shard FROM log WHERE op <> 'CLEAR' UNION ALL SELECT lsn, ts_ms, ttl_ms, key, op, s::INTEGER FROM log, range({SHARDS}) r(s) WHERE op = 'CLEAR'
+), turns AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY lsn) AS i FROM each), run AS (
+  SELECT DISTINCT shard, 0::BIGINT AS i, []::STRUCT(k VARCHAR, e BIGINT, p BIGINT)[] AS cache, 0::BIGINT AS hits, 0::BIGINT AS misses, 0::BIGINT AS expired, 0::BIGINT AS evictions, 0::BIGINT AS puts, 0::BIGINT AS removes, 0::BIGINT AS peak_size FROM turns
+  UNION ALL
+  SELECT shard, i, new, hits + (op = 'GET' AND there AND NOT late)::BIGINT, misses + (op = 'GET' AND (late OR NOT there))::BIGINT, expired + (op = 'GET' AND late)::BIGINT,
+         evictions + (op = 'PUT' AND NOT there AND len(cache) >= {CAPACITY})::BIGINT, puts + (op = 'PUT')::BIGINT, removes + (op = 'DELETE' AND there)::BIGINT, CASE WHEN op = 'PUT' THEN greatest(peak_size, len(new)) ELSE peak_size END
+  FROM (
+    SELECT *, CASE WHEN op = 'CLEAR' THEN list_slice(cache, 1, 0) WHEN op = 'GET' AND late OR op = 'DELETE' THEN rest
+                   WHEN op = 'GET' AND there AND ts_ms - found.p > 1000 THEN list_append(rest, {{'k': key, 'e': found.e, 'p': ts_ms}})
+                   WHEN op = 'PUT' AND there THEN list_append(rest, {{'k': key, 'e': dies, 'p': found.p}})
+                   WHEN op = 'PUT' THEN list_append(CASE WHEN len(cache) >= {CAPACITY} THEN list_slice(cache, 2, len(cache)) ELSE cache END, {{'k': key, 'e': dies, 'p': 0::BIGINT}}) ELSE cache END AS new
+    FROM (SELECT *, found IS NOT NULL AS there, found IS NOT NULL AND found.e > 0 AND ts_ms > found.e AS late
+          FROM (SELECT r.*, t.op, t.key, t.ts_ms, CASE WHEN t.ttl_ms > 0 THEN t.ts_ms + t.ttl_ms ELSE 0 END AS dies, list_filter(r.cache, lambda x: x.k = t.key)[1] AS found, list_filter(r.cache, lambda x: x.k <> t.key) AS rest
+                FROM (SELECT * REPLACE (i + 1 AS i) FROM run) r JOIN turns t ON r.shard = t.shard AND r.i = t.i) a) b) c
+) SELECT shard, hits, misses, expired, evictions, puts, removes, len(cache)::BIGINT AS size, peak_size FROM run r WHERE i = (SELECT max(i) FROM turns t WHERE t.shard = r.shard)"""
+
+
+@query(lru_sql(LOG))
 def lru_simulate_stats(spark, d):
     return lru.simulate(derive.log(spark, d), CAPACITY, SHARDS)
 
@@ -235,6 +274,20 @@ def recover_snapshot_plus_tail(spark, d):
     return oplog.recovered(oplog.snapshot_of(log, mid), log, mid).select("key", "value", "expiry_ms")
 
 
+@query(f"WITH {STATE} SELECT key, value, expiry_ms FROM state")
+def recover_bad_header(spark, d):
+    """Two thirds of the log are logged and checkpointed, the rest is logged only; a newer header with a wrong checksum
+    must not hide it."""
+    log = derive.log(spark, d).where("op <> 'GET'")
+    top = log.agg(F.max("lsn")).first()[0] or 0
+    durable = oplog.DurableTable(spark, tables.fresh_folder(spark, "durable"))
+    durable.append(log.where(F.col("lsn") <= top * 2 // 3))
+    durable.checkpoint(1)
+    durable.append(log.where(F.col("lsn") > top * 2 // 3))
+    durable.meta().limit(1).select(F.lit(top).cast("long").alias("snapshot_lsn"), "record_count", "created_ms", "version", F.lit(-1).cast("long").alias("checksum")).write.mode("append").parquet(f"{durable.folder}/meta")
+    return durable.recover()[0].select("key", "value", "expiry_ms")
+
+
 @query("SELECT snapshot_lsn, row_number() OVER (ORDER BY snapshot_lsn DESC) <= 3 AS kept FROM (SELECT DISTINCT event_id // 1000 + 1 AS snapshot_lsn FROM events)")
 def snapshot_rotation_keep3(spark, d):
     snapshots = derive.table(spark, d, "events").select((F.floor(F.col("event_id") / 1000) + 1).alias("snapshot_lsn")).distinct()
@@ -258,12 +311,22 @@ def group_commit_batches(spark, d):
     return group_commit.bucketed(requests(spark, d), 600_000)
 
 
-@query(f"WITH {LOG}, b AS (SELECT ts_ms // 600000 AS batch, count(*) AS commits, sum(33 + octet_length(encode(key)) + octet_length(encode(value))) AS bytes FROM log WHERE op <> 'GET' GROUP BY 1) SELECT sum(commits)::BIGINT AS commits, count(*) AS batches, sum(bytes)::BIGINT AS bytes, round(sum(commits) / count(*), 6) AS commits_per_batch, 600000.0::DOUBLE AS latency_ms FROM b")
+COMMITS = f"""{LOG}, req AS (
+  SELECT key AS stream, lsn AS req_id, ts_ms, 33 + octet_length(encode(key)) + octet_length(encode(value)) AS bytes, row_number() OVER (PARTITION BY key ORDER BY ts_ms, lsn) AS i FROM log WHERE op <> 'GET'
+), run AS (
+  SELECT stream, req_id, i, 0::BIGINT AS batch, bytes::BIGINT AS bytes, bytes::BIGINT AS size, ts_ms AS since FROM req WHERE i = 1
+  UNION ALL
+  SELECT stream, req_id, i, batch + fresh::BIGINT, bytes, CASE WHEN fresh THEN bytes ELSE size + bytes END, CASE WHEN fresh THEN ts_ms ELSE since END
+  FROM (SELECT r.stream, r.req_id, r.i, p.batch, r.bytes::BIGINT AS bytes, p.size, p.since, r.ts_ms, p.size >= 4096 OR r.ts_ms - p.since >= 3600000 AS fresh FROM run p JOIN req r ON r.stream = p.stream AND r.i = p.i + 1) s
+)"""
+
+
+@query(f"WITH RECURSIVE {COMMITS}, b AS (SELECT count(*) AS commits, sum(bytes) AS bytes FROM run GROUP BY stream, batch) SELECT sum(commits)::BIGINT AS commits, count(*) AS batches, sum(bytes)::BIGINT AS bytes, round(sum(commits) / count(*), 6) AS commits_per_batch, 3600000.0::DOUBLE AS latency_ms FROM b")
 def group_commit_stats(spark, d):
-    return group_commit.stats(group_commit.bucketed(requests(spark, d), 600_000), 600_000).withColumn("commits_per_batch", F.round("commits_per_batch", 6))
+    return group_commit.stats(group_commit.by_batch(group_commit.batches(requests(spark, d), 4096, 3_600_000)), 3_600_000).withColumn("commits_per_batch", F.round("commits_per_batch", 6))
 
 
-@query()
+@query(f"WITH RECURSIVE {COMMITS} SELECT stream, req_id, batch, bytes FROM run")
 def group_commit_exact(spark, d):
     return group_commit.batches(requests(spark, d), 4096, 3_600_000)
 
@@ -274,7 +337,7 @@ def stream_kv_state(spark, d):
     stream = derive.as_log(spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(stream_folder(spark, d)))
     import uuid
 
-    return apply.drained(apply.latest(stream), f"kv_{uuid.uuid4().hex}").select("key", "value", "lsn")
+    return apply.current(apply.drained(apply.latest(stream), f"kv_{uuid.uuid4().hex}")).select("key", "value", "lsn")
 
 
 def stream_folder(spark, d: str) -> str:
@@ -545,6 +608,23 @@ def cache_peak_size(spark, d):
     return stats.peak_size(derive.log(spark, d))
 
 
+@query(f"""WITH RECURSIVE {CLEARED}, turns AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lsn) AS i FROM (SELECT lsn, ts_ms, ttl_ms, key, op FROM log WHERE op <> 'CLEAR' UNION ALL SELECT c.lsn, c.ts_ms, 0, k.key, 'CLEAR' FROM (SELECT lsn, ts_ms FROM log WHERE op = 'CLEAR') c, (SELECT DISTINCT key FROM log WHERE op <> 'CLEAR') k) x), run AS (
+  SELECT DISTINCT key, 0::BIGINT AS i, false AS there, 0::BIGINT AS dies, 0::BIGINT AS hits, 0::BIGINT AS misses, 0::BIGINT AS expired, 0::BIGINT AS puts, 0::BIGINT AS removes FROM turns
+  UNION ALL
+  SELECT key, i, CASE WHEN op = 'PUT' THEN true WHEN op = 'GET' THEN there AND NOT late ELSE false END, CASE WHEN op = 'PUT' THEN CASE WHEN ttl_ms > 0 THEN ts_ms + ttl_ms ELSE 0 END ELSE dies END,
+         hits + (op = 'GET' AND there AND NOT late)::BIGINT, misses + (op = 'GET' AND (late OR NOT there))::BIGINT, expired + (op = 'GET' AND late)::BIGINT, puts + (op = 'PUT')::BIGINT, removes + (op = 'DELETE' AND there)::BIGINT
+  FROM (SELECT r.*, t.op, t.ts_ms, t.ttl_ms, r.there AND r.dies > 0 AND t.ts_ms > r.dies AS late FROM (SELECT * REPLACE (i + 1 AS i) FROM run) r JOIN turns t ON r.key = t.key AND r.i = t.i) s
+), ends AS (SELECT * FROM run r WHERE i = (SELECT max(i) FROM turns t WHERE t.key = r.key))
+SELECT sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, sum(expired)::BIGINT AS expired, sum(puts)::BIGINT AS puts, sum(removes)::BIGINT AS removes, count(*) FILTER (there) AS size FROM ends""")
+def cache_stats_after_clear(spark, d):
+    return stats.cache_stats(cleared_log(spark, d), 3200).select("hits", "misses", "expired", "puts", "removes", "size")
+
+
+@query(lru_sql(CLEARED))
+def lru_simulate_after_clear(spark, d):
+    return lru.simulate(cleared_log(spark, d), CAPACITY, SHARDS)
+
+
 @query(f"""WITH {LOG}, {READS}, e AS (SELECT {SHARD} AS shard, * FROM epochs) SELECT shard, sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, count(*) FILTER (op = 'PUT') AS puts, ((sum(hits) * 100) // (sum(hits) + sum(misses) + 1))::BIGINT AS hit_percent FROM e GROUP BY shard""")
 def cache_stats_by_shard(spark, d):
     e = ttl.epochs(derive.log(spark, d)).groupBy(keys.shard(F.col("key"), SHARDS).alias("shard"))

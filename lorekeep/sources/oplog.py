@@ -15,7 +15,14 @@ MAX_BYTES, MAX_MINUTES, KEEP = 64 << 20, 60, 3
 
 def with_lsn(ops: DataFrame, after: int) -> DataFrame:
     """Numbers operations of one writer's batch by (ts_ms, seq)."""
-    return ops.withColumn("lsn", F.lit(after) + F.row_number().over(Window.orderBy("ts_ms", "seq"))).drop("seq")
+    order = ops.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    width = max(1, ((order[1] or 0) - (order[0] or 0)) // 64 + 1)
+    dealt = ops.withColumn("_range", F.floor((F.col("ts_ms") - F.lit(order[0] or 0)) / width))
+    sums = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # 65 rows at most
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("ts_ms", "seq"))
+    placed = dealt.join(F.broadcast(sums.select("_range", before.alias("_before"))), "_range")
+    return placed.withColumn("lsn", F.lit(after) + F.col("_before") + own).drop("seq", "_range", "_before")
 
 
 def with_checksum(log: DataFrame) -> DataFrame:
@@ -72,22 +79,45 @@ class DurableTable:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def read_log(self) -> DataFrame:
+    def read_log(self, after: int | None = None) -> DataFrame:
+        """The log after an LSN, by default after the snapshot that recovery starts from; segments that end before it
+        are not read."""
         schema = KV_LOG.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", checksum bigint"
-        read = self.spark.read.schema(schema).parquet(f"{self.folder}/log") if self.exists("log") else self.spark.createDataFrame([], schema)
-        floor = max([r["snapshot_lsn"] for r in self.meta().collect()], default=0) if self.exists("truncated") else 0
-        return valid_prefix(read.where(F.col("lsn") > floor))
+        if not self.exists("log"):
+            return self.spark.createDataFrame([], schema)
+        floor = self.usable()[0] if after is None else after
+        read = self.spark.read.schema(f"{schema}, first bigint, last bigint").parquet(f"{self.folder}/log")
+        return valid_prefix(read.where((F.col("last") > floor) & (F.col("lsn") > floor)).drop("first", "last"))
 
     def append(self, ops: DataFrame) -> None:
-        """ops: as the log's schema, LSNs given."""
-        with_checksum(ops.select(*KV_LOG.fieldNames())).write.mode("append").parquet(f"{self.folder}/log")
+        """ops: as the log's schema, LSNs given. A batch is a segment, named by its first and last LSN."""
+        first, last = ops.agg(F.min("lsn"), F.max("lsn")).first()
+        if first is not None:
+            with_checksum(ops.select(*KV_LOG.fieldNames())).write.mode("append").parquet(f"{self.folder}/log/first={first}/last={last}")
+
+    def segments(self) -> list[tuple[int, int]]:
+        """First and last LSN of each segment, by the names of folders alone."""
+        if not self.exists("log"):
+            return []
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/log")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        folders = [x.getPath() for x in fs.listStatus(path) if x.isDirectory()]
+        return sorted((int(a.getName()[6:]), int(b.getPath().getName()[5:])) for a in folders for b in fs.listStatus(a) if b.isDirectory())
+
+    def clear_log(self, upto: int) -> list[tuple[int, int]]:
+        """Deletes the segments that end at or before an LSN; what goes is returned."""
+        old = [s for s in self.segments() if s[1] <= upto]
+        for first, last in old:
+            self.delete(f"log/first={first}/last={last}")
+        return old
 
     def meta(self) -> DataFrame:
         return self.spark.read.schema(SNAPSHOT_META).parquet(f"{self.folder}/meta") if self.exists("meta") else self.spark.createDataFrame([], SNAPSHOT_META)
 
     def checkpoint(self, now_ms: int) -> int:
-        """Writes a snapshot of all that is logged, publishes it by its row in ``meta`` and then drops log entries up to
-        its LSN only, so that writes meanwhile stay. Before the row is there, nothing is lost if the writer dies."""
+        """Writes a snapshot of all that is logged and publishes it by its row in ``meta``. Log entries up to the oldest
+        snapshot that is kept then go, so that writes meanwhile stay, and recovery can fall back on an older snapshot
+        and the log after it. Before the row is there, nothing is lost if the writer dies."""
         state, lsn = self.recover_rows()
         if lsn == 0:
             return 0
@@ -96,26 +126,30 @@ class DurableTable:
         count = self.spark.read.parquet(f"{self.folder}/snapshots/lsn={lsn}").count()
         one = self.spark.createDataFrame([(lsn, count, now_ms, SNAPSHOT_VERSION)], "snapshot_lsn long, record_count long, created_ms long, version int")
         one.withColumn("checksum", checksum.header(F.col("version"), F.col("record_count"), F.col("snapshot_lsn"), F.col("created_ms"))).write.mode("append").parquet(f"{self.folder}/meta")
-        self.spark.createDataFrame([(lsn,)], "lsn long").write.mode("overwrite").parquet(f"{self.folder}/truncated")
         self.rotate()
+        self.clear_log(min((r["snapshot_lsn"] for r in self.valid_meta().collect() if self.exists(f"snapshots/lsn={r['snapshot_lsn']}")), default=0))
         return lsn
 
     def valid_meta(self) -> DataFrame:
         good = checksum.header(F.col("version"), F.col("record_count"), F.col("snapshot_lsn"), F.col("created_ms"))
         return self.meta().where((F.col("version") == SNAPSHOT_VERSION) & (F.col("checksum") == good))
 
+    def usable(self) -> tuple[int, DataFrame]:
+        """The latest snapshot whose header is valid and whose records are as many as it says; (0, no rows) if none is.
+        Headers are few: one for each checkpoint."""
+        schema = "put_ms long, expiry_ms long, key string, value string"
+        for meta in self.valid_meta().orderBy(F.desc("snapshot_lsn"), F.desc("created_ms")).collect():
+            lsn = meta["snapshot_lsn"]
+            if self.exists(f"snapshots/lsn={lsn}"):
+                snapshot = self.spark.read.schema(schema).parquet(f"{self.folder}/snapshots/lsn={lsn}")
+                if snapshot.count() == meta["record_count"]:
+                    return lsn, snapshot.withColumn("lsn", F.lit(lsn).cast("long"))
+        return 0, self.spark.createDataFrame([], f"{schema}, lsn long")
+
     def recover_rows(self) -> tuple[DataFrame, int]:
-        """State and last LSN: the latest valid snapshot by number, then the log after it."""
-        meta = self.valid_meta().orderBy(F.desc("snapshot_lsn")).first()
-        lsn = meta["snapshot_lsn"] if meta else 0
-        if meta:
-            snapshot = self.spark.read.schema("put_ms long, expiry_ms long, key string, value string").parquet(f"{self.folder}/snapshots/lsn={lsn}")
-            if snapshot.count() != meta["record_count"]:
-                raise ValueError(f"snapshot {lsn} has another number of records than its header")
-            snapshot = snapshot.withColumn("lsn", F.lit(lsn).cast("long"))
-        else:
-            snapshot = self.spark.createDataFrame([], "put_ms long, expiry_ms long, key string, value string, lsn long")
-        log = self.read_log()
+        """State and last LSN: the latest usable snapshot, then the log after it."""
+        lsn, snapshot = self.usable()
+        log = self.read_log(lsn)
         return recovered(snapshot, log, lsn), max(lsn, log.agg(F.max("lsn")).first()[0] or 0)
 
     def recover(self, ttl_recovery: str = "keep") -> tuple[DataFrame, int]:
@@ -125,7 +159,7 @@ class DurableTable:
 
     def rotate(self, keep: int = KEEP) -> list[int]:
         """Deletes all but the newest snapshots, by number; returns what went."""
-        old = [r["snapshot_lsn"] for r in rotation(self.meta().select("snapshot_lsn").distinct(), keep).where("NOT kept").collect()]
+        old = [r["snapshot_lsn"] for r in rotation(self.valid_meta().select("snapshot_lsn").distinct(), keep).where("NOT kept").collect()]
         for lsn in old:
             self.delete(f"snapshots/lsn={lsn}")
         return old

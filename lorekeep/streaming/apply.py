@@ -20,10 +20,16 @@ def stream_log(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def latest(log: DataFrame) -> DataFrame:
     """State as a streaming aggregation (output mode complete or update). Entries that arrive late or twice change
-    nothing, as the largest LSN of a key wins."""
-    writes = log.where(F.col("op").isin("PUT", "DELETE"))
+    nothing, as the largest LSN of a key wins. The last CLEAR is a row of its own (null key): ``current`` applies it."""
+    writes = log.where(F.col("op").isin("PUT", "DELETE", "CLEAR")).withColumn("key", F.when(F.col("op") != "CLEAR", F.col("key")))
     w = F.max_by(F.struct("op", "value", F.col("ts_ms").alias("put_ms"), expiry(F.col("ts_ms"), F.col("ttl_ms")).alias("expiry_ms"), "lsn"), "lsn")
-    return writes.groupBy("key").agg(w.alias("w")).where("w.op = 'PUT'").select("key", "w.value", "w.put_ms", "w.expiry_ms", "w.lsn")
+    return writes.groupBy("key").agg(w.alias("w")).where("w.op <> 'DELETE'").select("key", "w.value", "w.put_ms", "w.expiry_ms", "w.lsn", "w.op")
+
+
+def current(table: DataFrame) -> DataFrame:
+    """The state in a table that ``latest`` fills: entries after the last CLEAR."""
+    cleared = table.where("op = 'CLEAR'").agg(F.coalesce(F.max("lsn"), F.lit(-1)).alias("cleared"))  # one row
+    return table.crossJoin(F.broadcast(cleared)).where("op = 'PUT' AND lsn > cleared").drop("op", "cleared")
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
@@ -35,7 +41,8 @@ def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
 
 class Applier(StatefulProcessor):
     """Keeps the last write of each key; an entry leaves the state by itself when nothing touched it for ``ttl_ms``, and
-    a timer removes it when its own expiry passes."""
+    a timer removes it when its own expiry passes. A CLEAR comes under its own key and is passed on as a change: it
+    ends all entries up to its LSN, which are other keys' states."""
 
     def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
@@ -50,7 +57,7 @@ class Applier(StatefulProcessor):
         changed = False
         for part in rows:
             for r in part.sort_values("lsn").itertuples(index=False):
-                if r.op in ("PUT", "DELETE") and (best is None or r.lsn > best[0]):
+                if r.op in ("PUT", "DELETE", "CLEAR") and (best is None or r.lsn > best[0]):
                     best = (int(r.lsn), r.op, r.value, int(r.ts_ms), int(r.ts_ms + r.ttl_ms) if r.ttl_ms > 0 else 0)
                     changed = True
         if not changed:
@@ -71,7 +78,7 @@ class Applier(StatefulProcessor):
 
 
 def changes(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """A stream of the last change of each key in a batch (op PUT, DELETE or EXPIRE). Needs the RocksDB state store."""
+    """A stream of the last change of each key in a batch (op PUT, DELETE, CLEAR or EXPIRE). Needs the RocksDB state store."""
     schema = "key string, op string, value string, put_ms long, expiry_ms long, lsn long"
     return log.groupBy("key").transformWithStateInPandas(Applier(ttl_ms), schema, "update", "ProcessingTime")
 
@@ -85,13 +92,14 @@ def checkpoint_each(table, clock):
     """A ``foreachBatch`` function: appends a batch to a durable table and checkpoints when the rule says so."""
     from lorekeep.sources.oplog import should_checkpoint, size_bytes
 
-    since = [clock()]
+    since, logged = [clock()], [size_bytes(table.read_log()).first()["bytes"]]  # what a restart finds
 
     def write(batch: DataFrame, _: int) -> None:
         table.append(batch)
+        logged[0] += size_bytes(batch).first()["bytes"]
         now = clock()
-        if should_checkpoint((now - since[0]) / 60_000, size_bytes(table.read_log()).first()["bytes"]):
+        if should_checkpoint((now - since[0]) / 60_000, logged[0]):
             table.checkpoint(now)
-            since[0] = now
+            since[0], logged[0] = now, 0
 
     return write

@@ -356,3 +356,58 @@ def test_shortest_path_length_has_no_cap(spark, monkeypatch):
     monkeypatch.setattr(catalogue.derive, "edges", lambda *_: g.edges)
     row = catalogue.QUERIES["graph_shortest_path_len"](spark, "").first()
     assert tuple(row) == ("n0", "n14", len(model_path(chain, "n0", "n14")) - 1) == ("n0", "n14", 14)
+
+
+def durable(spark, tmp_path, *batches):
+    """A durable table of batches of puts, with a checkpoint after each but the last."""
+    t, lsn = oplog.DurableTable(spark, str(tmp_path)), 0
+    for i, keys_ in enumerate(batches):
+        rows = [(lsn + 1 + k, 0, "PUT", key, f"{key}{i}", 0) for k, key in enumerate(keys_)]
+        lsn += len(rows)
+        t.append(spark.createDataFrame(rows, KV_LOG))
+        if i < len(batches) - 1:
+            assert t.checkpoint(i + 1) == lsn
+    return t
+
+
+def test_recovery_with_a_bad_newest_header_loses_nothing(spark, tmp_path):
+    t = durable(spark, tmp_path, ["a"], ["b"], ["c"])
+    bad = spark.createDataFrame([(3, 99, 5, 1, -1)], "snapshot_lsn long, record_count long, created_ms long, version int, checksum long")
+    bad.write.mode("append").parquet(f"{tmp_path}/meta")
+    state, lsn = t.recover()
+    assert (lsn, {r["key"]: r["value"] for r in state.collect()}) == (3, {"a": "a0", "b": "b1", "c": "c2"})
+
+
+def test_recovery_falls_back_to_an_older_snapshot_and_the_log_after_it(spark, tmp_path):
+    t = durable(spark, tmp_path, ["a", "x"], ["b", "x"], ["c"])
+    spark.createDataFrame([(0, 0, "odd", "v")], "put_ms long, expiry_ms long, key string, value string").write.mode("append").parquet(f"{tmp_path}/snapshots/lsn=4")
+    state, lsn = t.recover()  # snapshot 4 has one record too many
+    assert (lsn, {r["key"]: r["value"] for r in state.collect()}) == (5, {"a": "a0", "b": "b1", "c": "c2", "x": "x1"})
+
+
+def test_checkpoints_delete_log_segments_and_old_snapshots(spark, tmp_path):
+    t = durable(spark, tmp_path, ["a"], ["b"], ["c"], ["d"], ["e"], ["f"])
+    assert t.segments() == [(4, 4), (5, 5), (6, 6)] and not t.exists("snapshots/lsn=2") and t.exists("snapshots/lsn=3")
+    assert {r["key"] for r in t.recover()[0].collect()} == set("abcdef") and t.read_log().count() == 1
+    assert t.clear_log(5) == [(4, 4), (5, 5)] and {r["key"] for r in t.recover()[0].collect()} == set("abcdef")
+
+
+def test_clear_ends_entries_for_every_reader(spark):
+    clear = ("CLEAR", "", None, 0, 0)
+    ops = [put("a", "1"), put("b", "2"), read("a"), clear, read("a"), put("a", "3"), read("a"), ("DELETE", "b", None, 0, 0), clear, read("a"), put("c"), put("c", "5")]
+    log = log_of(spark, ops)
+    row = stats.cache_stats(log, 10).first()
+    assert (row["hits"], row["misses"], row["puts"], row["removes"], row["size"]) == (2, 2, 5, 0, 1)
+    assert stats.peak_size(log).first()[0] == 2
+    sims = lru.simulate(log, 10, 4)
+    total = sims.agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "puts", "removes", "size")]).first()
+    assert tuple(total) == (2, 2, 5, 0, 1)
+    asked = spark.createDataFrame([(i, "a", lsn) for i, lsn in enumerate((3, 4, 5, 6, 8, 9, 12))], "lookup_id long, key string, lsn long")
+    assert [r["value"] for r in kv.as_of(asked, log).orderBy("lookup_id").collect()] == ["1", None, None, "3", "3", None, None]
+    assert {r["key"]: r["counter"] for r in kv.counters(log).collect()} == {"c": 2}
+    assert {r["key"]: r["items"] for r in kv.appended_lists(log).collect()} == {"c": ["v", "5"]}
+
+
+def test_appended_lists_start_anew_after_a_removal(spark):
+    log = log_of(spark, [put("k", "x"), put("k", "z"), ("DELETE", "k", None, 0, 0), put("k", "y"), put("k", "x"), put("k", "y"), put("j", "x")])
+    assert {r["key"]: r["items"] for r in kv.appended_lists(log).collect()} == {"k": ["y", "x"], "j": ["x"]}

@@ -120,3 +120,10 @@ def test_bench_csv(spark, tmp_path):
 def test_registry():
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert sql.keys() <= found.keys() and len(sql) >= 60
+
+
+def test_streamed_state_honours_clear(spark, tmp_path):
+    rows = [(1, 0, "PUT", "a", "1", 0), (2, 0, "PUT", "b", "2", 0), (3, 0, "CLEAR", "", None, 0), (4, 0, "PUT", "b", "3", 0), (5, 0, "DELETE", "c", None, 0)]
+    spark.createDataFrame(rows, KV_LOG).repartition(3).write.parquet(f"{tmp_path}/log")
+    table = apply.drained(apply.latest(apply.stream_log(spark, f"{tmp_path}/log", KV_LOG)), f"t{uuid.uuid4().hex}")
+    assert [(r["key"], r["value"]) for r in apply.current(table).collect()] == [("b", "3")]
