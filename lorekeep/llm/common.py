@@ -45,8 +45,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+KEPT: dict[tuple, object] = {}
+
+
+def kept_in_worker(make: Callable, *args):
+    """``make(*args)``, made once in a Python worker while it works for one operator. Workers live on from stage to stage;
+    what the operator before has left (a vocabulary with its cache of words) goes first, so that never two lie there."""
+    key = (make.__module__, make.__qualname__, *args)
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = make(*args)
+    return KEPT[key]
+
+
+def release() -> None:
+    KEPT.clear()
+
+
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: bool = False) -> DataFrame:
+    """``keeps``: ``fn`` uses ``kept_in_worker``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

@@ -17,14 +17,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_arrow
+from .common import cut, in_arrow, kept_in_worker
 
 SEQUENCE = 4096
 END_ID = 2
@@ -77,9 +76,8 @@ class WordTokens:
         return b"".join(parts)
 
 
-@lru_cache(maxsize=1)
 def word_tokens(tokenizer_file: str) -> WordTokens:
-    return WordTokens(tokenizer_file)
+    return kept_in_worker(WordTokens, tokenizer_file)
 
 
 def projection() -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +136,7 @@ def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                 keys = [curve_key(np.frombuffer(x, "<u2"), dimension, matrix) for x in ids]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys, pa.int64()), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "curve", "n", "ids"])
 
-    read = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, curve long, n long, ids binary")
+    read = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, curve long, n long, ids binary", keeps=True)
     return read.withColumn("place", F.shiftleft("curve", 32) + F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).drop("curve")
 
 

@@ -18,14 +18,13 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_arrow
+from .common import in_arrow, kept_in_worker
 
 MARK = "▁"
 #: Chunks in one generation of a worker's cache; two are kept, about 220 bytes a chunk.
@@ -170,9 +169,8 @@ class PieceCodec:
         return text[1:] if first is not None and self.pieces[first].startswith(MARK) else text
 
 
-@lru_cache(maxsize=2)
 def codec(model_file: str) -> PieceCodec:
-    return PieceCodec(model_file)
+    return kept_in_worker(PieceCodec, model_file)
 
 
 def encode_documents(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,7 +184,7 @@ def encode_documents(docs: DataFrame, model_file: str, key: str = "doc_id", text
             decoded = [own.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [key, "ids", "decoded"])
 
-    return in_arrow(docs.select(key, text), step, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary, decoded string")
+    return in_arrow(docs.select(key, text), step, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary, decoded string", keeps=True)
 
 
 def encode_digests(docs: DataFrame, model_file: str) -> DataFrame:
@@ -204,4 +202,4 @@ def encode_digests(docs: DataFrame, model_file: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(own.decode(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return in_arrow(docs.select("doc_id", "text"), step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select("doc_id", "text"), step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)

@@ -15,7 +15,6 @@ import base64
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from math import inf
 
 import numpy as np
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, mix
+from .common import in_arrow, kept_in_worker, mix
 
 SYMBOLS = b"#*$%&|<>"
 #: Fewer words fail the base.
@@ -55,7 +54,7 @@ class Fertility:
     """Piece ids, byte-level token counts, lengths and hashes of words; each word is encoded once per worker while it
     stays in a cache of two bounded generations."""
 
-    MOST = 400_000
+    MOST = 300_000
 
     def __init__(self, piece_model: str, byte_ranks: str, pattern: str) -> None:
         import sentencepiece
@@ -82,9 +81,8 @@ class Fertility:
         return [known[w] for w in words]
 
 
-@lru_cache(maxsize=1)
 def fertility(*files: str) -> Fertility:
-    return Fertility(*files)
+    return kept_in_worker(Fertility, *files)
 
 
 def script_of(text: str) -> str:
@@ -160,4 +158,4 @@ def judge(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, band
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[3:]], [*names, *more])
 
     carried = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
-    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", *more), step, SCHEMA + carried)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", *more), step, SCHEMA + carried, keeps=True)
