@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -248,25 +249,70 @@ def test_host_paths(spark):
     assert host_paths.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_fingerprints(docs, empty, spark):
-    got = {r["doc_id"]: r for r in syncmer_prints.fingerprints(docs).collect()}
+def brute_print(text: str, kept: int) -> str:
+    """All closed syncmers of a text, plainly: the least hashes with their first places."""
+
+    def of_string(t: str) -> int:
+        return xxhash.xxh64_intdigest(t.encode(), 42)
+
+    def of_pair(a: int, b: int) -> int:
+        return xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
+
+    def signed(h: int) -> int:
+        return h - (1 << 64) if h >> 63 else h
+
+    k, s = syncmer_prints.K, syncmer_prints.S
+    at = {}
+    for i in range(len(text) - k + 1):
+        inner = [of_string(text[i + j : i + j + s]) for j in range(k - s + 1)]
+        if min(map(signed, inner)) in (signed(inner[0]), signed(inner[-1])):
+            at.setdefault(signed(of_pair(inner[0], inner[-1])), i)
+    if not at and text:
+        at[signed(of_string(text))] = 0
+    return " ".join(f"{h % (1 << 64):016X}@{at[h]:X}" for h in sorted(at)[:kept])
+
+
+def brute_likeness(a: str, b: str, kept: int, slack: int) -> float:
+    x, y = ({h: int(i, 16) for h, i in (v.split("@") for v in p.split())} for p in (a, b))
+    if not x and not y:
+        return 1.0
+    low = sorted({*x, *y}, key=lambda h: (int(h, 16) ^ (1 << 63)))[:kept]
+    shifts = sorted(x[h] - y[h] for h in low if h in x and h in y)
+    return sum(abs(d - shifts[len(shifts) // 2]) <= slack for d in shifts) / len(low)
+
+
+@pytest.mark.parametrize(("kept", "slack"), [(64, 64), (5, 0)])
+def test_fingerprints(docs, empty, spark, kept, slack):
+    got = {r["doc_id"]: r for r in syncmer_prints.fingerprints(docs, kept, slack).collect()}
     texts = texts_of(docs)
     order = sorted(texts, reverse=True)
-    prints = defaultdict(set)
     for i, k in enumerate(order):
         t, following = texts[k], texts[order[(i + 1) % len(order)]]
         third = len(t) // 3
         want = t[: len(t) - third] + following[:third]
+        print_, after = brute_print(t, kept), brute_print(want, kept)
         assert got[k]["n_chars"] == len(t) and got[k]["edited_sha256"] == hashlib.sha256(want.encode()).hexdigest()
-        assert 0 <= got[k]["near_edited"] <= 1 and 0 <= got[k]["near_next"] <= 1
-        prints[t].add(got[k]["fingerprint"])
-    assert all(len(v) == 1 for v in prints.values())
-    assert got[101]["near_next"] == 1.0 and got[8]["near_edited"] > 0.3 > got[8]["near_next"]
+        assert (got[k]["fingerprint"], got[k]["edited_fingerprint"]) == (print_, after), k
+        assert got[k]["near_edited"] == pytest.approx(brute_likeness(print_, after, kept, slack))
+        assert got[k]["near_next"] == pytest.approx(brute_likeness(print_, brute_print(following, kept), kept, slack))
+    assert got[101]["near_next"] == 1.0
+    assert kept < 64 or got[8]["near_edited"] > 0.3 > got[8]["near_next"]
     assert syncmer_prints.fingerprints(empty).count() == 0
     one = syncmer_prints.fingerprints(spark.createDataFrame([(None, None)], "doc_id long, text string")).first()
     assert (one["n_chars"], one["fingerprint"], one["near_next"]) == (0, "", 1.0)
 
 
+def test_fingerprints_in_parts(docs, monkeypatch):
+    """Parts of any size give the prints of whole texts, and a very long word or text passes."""
+    whole = {r["doc_id"]: r for r in syncmer_prints.fingerprints(docs).collect()}
+    monkeypatch.setattr(syncmer_prints, "PART", 50)
+    assert {r["doc_id"]: r for r in syncmer_prints.fingerprints(docs).collect()} == whole
+    monkeypatch.undo()
+    long = docs.sparkSession.createDataFrame([(1, "y" * 1_000_000), (2, prose(21, 20_000))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in syncmer_prints.fingerprints(long).collect()}
+    assert got[1]["fingerprint"].count("@") == 1 and got[2]["fingerprint"] == brute_print(prose(21, 20_000), 64)
+
+
 def brute_components(texts: dict) -> dict:
     sets = {}
     for k, t in texts.items():
