@@ -535,7 +535,16 @@ def graph_shortest_path_len(spark, d):
     return spark.createDataFrame([(src, dst, len(path) - 1)], "src_id string, dst_id string, hops int")
 
 
-@query()
+#: At each hop a node keeps the way whose row of seqs is least, which is the one that a queue finds first.
+@query(f"""WITH RECURSIVE {EDGES}, {ENDS}, steps AS (SELECT src_id, dst_id, min(seq) AS seq FROM edges GROUP BY ALL), ways(node_id, hop, place, path) AS (
+  SELECT s, 0, []::BIGINT[], [s] FROM ends
+  UNION ALL
+  SELECT node_id, hop, place, path FROM (
+    SELECT e.dst_id AS node_id, w.hop + 1 AS hop, list_append(w.place, e.seq::BIGINT) AS place, list_append(w.path, e.dst_id) AS path,
+           row_number() OVER (PARTITION BY e.dst_id ORDER BY list_append(w.place, e.seq::BIGINT)) AS r
+    FROM ways w JOIN steps e ON e.src_id = w.node_id WHERE w.hop < 12) WHERE r = 1
+), found AS (SELECT path FROM ways, ends WHERE node_id = t ORDER BY hop LIMIT 1)
+SELECT unnest(range(len(path)))::INTEGER AS place, unnest(path) AS node_id FROM found""")
 def graph_shortest_path(spark, d):
     edges = G.materialised(derive.edges(spark, d), "edges")
     path = G.shortest_path(edges, *ends(edges))
