@@ -129,3 +129,11 @@ def partial_top(queries: dict[int, list[float]], k: int, metric: str, block: int
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["qid", "key", "score"])
 
     return step
+
+
+def approx_equal(a: Column, b: Column, within: float = 1e-4) -> Column:
+    """Near by difference or by difference relative to the larger of the two. NaN is near to nothing, an infinite number
+    only to itself; null where either is."""
+    larger = F.greatest(F.abs(a), F.abs(b))
+    finite = larger < F.lit(math.inf)  # NaN is larger than all numbers
+    return (finite & (F.abs(a - b) <= within * F.greatest(larger, F.lit(1.0)))) | (~finite & ~F.isnan(larger) & (a == b))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorekeep.functions.keys import shard as shard_of
+
 from .running import running_total, with_era
-from .ttl import epochs
+from .ttl import epochs, told
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -50,6 +52,30 @@ def cache_stats(log: DataFrame, capacity: int, now_ms: int | None = None) -> Dat
     )
 
 
+def counters_by_shard(log: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """The counters of each shard that the log went through, with its size; ``capacity`` is a shard's, and that of the
+    cache is ``shards`` times it. The caches are unbounded: evictions are ``lru.simulate``'s."""
+    n = with_removals(log).groupBy(shard_of(F.col("key"), shards).alias("shard")).agg(
+        F.sum("hits").alias("hits"), F.sum("misses").alias("misses"), F.count_if(F.col("late") > 0).alias("expired"), F.count_if(F.col("op") == "PUT").alias("puts"),
+        F.count_if("removed").alias("removes"),
+        (F.count_if("inserted") - F.count_if("removed") - F.count_if((F.col("op") == "PUT") & (F.col("late") > 0)) - F.count("cleared_lsn")).alias("size"),
+    )
+    return n.withColumn("capacity", F.lit(capacity).cast("long")).withColumn("total_capacity", F.lit(shards * capacity).cast("long"))
+
+
+def counters_since(log: DataFrame, reset_lsn: int) -> DataFrame:
+    """One row of counters that were set to zero after ``reset_lsn`` while the data stayed: an entry from before is still
+    hit. The times of the last read, hit and miss are null where there was none."""
+    hit = F.col("there") & ~F.col("late")
+    miss = (F.col("op") == "GET") & ~hit
+    reads = told(log).where(F.col("lsn") > reset_lsn).agg(
+        F.count_if(hit).alias("hits"), F.count_if(miss).alias("misses"), F.count_if(F.col("op") == "PUT").alias("puts"),
+        F.max(F.when(hit, F.col("ts_ms"))).alias("last_hit_ms"), F.max(F.when(miss, F.col("ts_ms"))).alias("last_miss_ms"), F.max(F.when(F.col("op") == "GET", F.col("ts_ms"))).alias("last_access_ms"),
+    )
+    ends = with_removals(log).agg(F.count_if(F.col("first_late_lsn") > reset_lsn).alias("expired"), F.count_if(F.col("removed") & (F.col("lsn") > reset_lsn)).alias("removes"))
+    return reads.crossJoin(F.broadcast(ends))  # one row each
+
+
 def size_changes(log: DataFrame) -> DataFrame:
     """lsn, delta: +1 where a key is inserted, -1 where it is removed, cleared or dies of a late read."""
     e = with_removals(log)

@@ -201,6 +201,27 @@ def ttl_sweep_stats(spark, d):
     return ttl.sweep_stats(rounds, SHARDS, 20, 100).withColumn("avg_ratio", F.round("avg_ratio", 9)).withColumn("skipped", F.col("skipped").cast("long"))
 
 
+INTERVAL = 3_600_000
+
+
+@query(f"""WITH {LOG}, {READS}, t AS (SELECT min(ts_ms) AS start_ms, (max(ts_ms) - min(ts_ms)) // {INTERVAL} AS rounds FROM log),
+times AS (SELECT t.key, t.write_no, t.op, l.ts_ms, CASE WHEN l.ttl_ms > 0 THEN l.ts_ms + l.ttl_ms ELSE 0 END AS dies, lead(l.ts_ms) OVER (PARTITION BY t.key ORDER BY t.write_no) AS next_ms, f.ts_ms AS late_ms
+  FROM told t LEFT JOIN log l USING (lsn) LEFT JOIN log f ON f.lsn = t.first_late),
+due AS (SELECT {SHARD} AS shard, (dies - start_ms) // {INTERVAL} + 1 AS round, least(next_ms, late_ms) AS ended, start_ms, rounds FROM times, t WHERE op = 'PUT' AND dies > 0),
+settled AS (SELECT round + greatest(0, 2 - (round + shard) % 5) AS round, ended, start_ms, rounds FROM due),
+gone AS (SELECT round, count(*) AS expired FROM settled WHERE ended IS NULL OR ended > start_ms + round * {INTERVAL} GROUP BY 1),
+every AS (SELECT unnest(range(1, rounds + 1)) AS round FROM t),
+busy AS (SELECT round, count(*) AS skipped FROM every, range({SHARDS}) s(shard) WHERE (round + shard) % 5 < 2 GROUP BY 1)
+SELECT round, coalesce(expired, 0)::BIGINT AS expired, coalesce(skipped, 0)::BIGINT AS skipped FROM every LEFT JOIN gone USING (round) LEFT JOIN busy USING (round)""")
+def ttl_sweep_rounds(spark, d):
+    """Hourly sweeps; a shard cannot be had in two rounds of five."""
+    log = derive.log(spark, d)
+    first, last = log.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    rounds = ((last or 0) - (first or 0)) // INTERVAL
+    busy = spark.range(1, rounds + 2).select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))).alias("shard")).where("(round + shard) % 5 < 2")
+    return ttl.sweep_rounds(log, busy, SHARDS, INTERVAL)
+
+
 @query(f"WITH {LOG}, last AS (SELECT key, max(lsn) AS lsn FROM log WHERE op = 'PUT' GROUP BY key), ranked AS (SELECT key, lsn, {SHARD} AS shard, row_number() OVER (PARTITION BY {SHARD} ORDER BY lsn DESC) AS rank FROM last) SELECT key, lsn, shard, rank::INTEGER AS rank FROM ranked WHERE rank <= {CAPACITY}")
 def lru_resident_put_only(spark, d):
     return lru.resident_put_only(derive.log(spark, d), CAPACITY, SHARDS)
@@ -594,6 +615,21 @@ def graph_escape_keys(spark, d):
     return e.withColumn("raw", F.get(keys.segments(F.col("node_key")), 1)).withColumn("parts", F.size(keys.segments(F.col("node_key"))))
 
 
+def escaped(column: str) -> str:
+    return ESCAPED.replace("raw", column)
+
+
+@query(f"""WITH e AS (SELECT event_id, 'u:' || user_id AS src, event_type || '\\' AS dst, coalesce(props, '') AS label FROM events)
+SELECT event_id, 'e:' || {escaped('src')} || ':' || {escaped('dst')} || ':' || {escaped('label')} AS edge_key, 'adj:out:' || {escaped('src')} AS out_key, 'adj:in:' || {escaped('dst')} AS in_key,
+  'vec:' || {escaped('src')} AS vector_key, 'ec:' || {escaped('src')} || ':' || {escaped('dst')} AS counter_key FROM e""")
+def graph_key_builders(spark, d):
+    src, dst, label = F.concat(F.lit("u:"), F.col("user_id")), F.concat(F.col("event_type"), F.lit("\\")), F.coalesce("props", F.lit(""))
+    return derive.table(spark, d, "events").select(
+        "event_id", keys.edge_key(src, dst, label).alias("edge_key"), keys.adjacency_key("out", src).alias("out_key"), keys.adjacency_key("in", dst).alias("in_key"),
+        keys.vector_key(src).alias("vector_key"), keys.counter_key(src, dst).alias("counter_key"),
+    )
+
+
 # Statistics and service.
 
 
@@ -641,6 +677,36 @@ def cache_stats_by_shard(spark, d):
     return n.withColumn("hit_percent", stats.hit_percent(F.col("hits"), F.col("misses")))
 
 
+@query(f"""WITH {LOG}, {READS} SELECT {SHARD} AS shard, sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, count(*) FILTER (late > 0) AS expired, count(*) FILTER (op = 'PUT') AS puts, count(*) FILTER (op = 'DELETE' AND was) AS removes,
+  count(*) FILTER (op = 'PUT' AND NOT was) - count(*) FILTER (op = 'DELETE' AND was) - count(*) FILTER (op = 'PUT' AND late > 0) AS size, 100::BIGINT AS capacity, 3200::BIGINT AS total_capacity FROM told GROUP BY 1""")
+def cache_counters_by_shard(spark, d):
+    return stats.counters_by_shard(derive.log(spark, d), SHARDS, 100)
+
+
+@query(f"""WITH {LOG}, {READS}, reset AS (SELECT max(lsn) // 2 AS r FROM log), g AS (
+  SELECT count(*) FILTER (there AND NOT late) AS hits, count(*) FILTER (NOT there OR late) AS misses, max(ts_ms) FILTER (there AND NOT late) AS last_hit_ms, max(ts_ms) FILTER (NOT there OR late) AS last_miss_ms FROM reads, reset WHERE lsn > r
+), w AS (SELECT count(*) FILTER (op = 'PUT') AS puts, max(ts_ms) FILTER (op = 'GET') AS last_access_ms FROM log, reset WHERE lsn > r),
+x AS (SELECT count(*) FILTER (first_late > r) AS expired, count(*) FILTER (op = 'DELETE' AND was AND lsn > r) AS removes FROM told, reset)
+SELECT * FROM g, w, x""")
+def cache_stats_after_reset(spark, d):
+    """Counters since the middle of the log."""
+    log = derive.log(spark, d)
+    return stats.counters_since(log, (log.agg(F.max("lsn")).first()[0] or 0) // 2)
+
+
+@query("SELECT event_id, abs(value - round(value, 1)) <= 1e-4 OR abs(value - round(value, 1)) <= 1e-4 * greatest(abs(value), abs(round(value, 1))) AS near FROM events")
+def number_approx_equal(spark, d):
+    return derive.table(spark, d, "events").select("event_id", V.approx_equal(F.col("value"), F.round("value", 1)).alias("near"))
+
+
+@query("""WITH m AS (SELECT event_type, max(value) AS single, sum(value) / 4 AS batch, count(*) AS n FROM events GROUP BY 1)
+SELECT event_type, round(single * n / batch, 6) AS speedup, round(single / batch, 9) AS efficiency FROM m""")
+def perf_speedup(spark, d):
+    m = derive.table(spark, d, "events").groupBy("event_type").agg(F.max("value").alias("single"), (F.sum("value") / 4).alias("batch"), F.count("*").alias("n"))
+    s = m.select("event_type", stats.speedup(F.col("single"), F.col("batch"), F.col("n")).alias("s"))
+    return s.select("event_type", F.round("s.speedup", 6).alias("speedup"), F.round("s.efficiency", 9).alias("efficiency"))
+
+
 @query("SELECT event_type, list_sort(list(value))[(count(*) * 50) // 100 + 1] AS p50, list_sort(list(value))[(count(*) * 95) // 100 + 1] AS p95, list_sort(list(value))[(count(*) * 99) // 100 + 1] AS p99 FROM events GROUP BY event_type")
 def latency_percentiles_nearest_rank(spark, d):
     return stats.percentiles(derive.table(spark, d, "events"), "event_type", "value")

@@ -411,3 +411,58 @@ def test_clear_ends_entries_for_every_reader(spark):
 def test_appended_lists_start_anew_after_a_removal(spark):
     log = log_of(spark, [put("k", "x"), put("k", "z"), ("DELETE", "k", None, 0, 0), put("k", "y"), put("k", "x"), put("k", "y"), put("j", "x")])
     assert {r["key"]: r["items"] for r in kv.appended_lists(log).collect()} == {"k": ["y", "x"], "j": ["x"]}
+
+
+def test_near_numbers(spark):
+    rows = [(1.0, 1.00005, True), (1.0, 1.0002, False), (1e6, 1e6 + 90, True), (1e6, 1e6 + 200, False), (0.0, -0.00009, True), (math.nan, math.nan, False), (math.nan, 1.0, False), (math.inf, math.inf, True), (math.inf, 5.0, False), (math.inf, -math.inf, False), (None, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, want boolean")
+    assert df.where(~V.approx_equal(F.col("a"), F.col("b")).eqNullSafe(F.col("want"))).collect() == []
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_sweep_rounds_against_a_loop(spark, seed):
+    r, shards, interval = random.Random(seed), 3, 700
+    ops = random_log(seed)
+    ops.insert(200, ("CLEAR", None, None, 0, ops[199][4]))
+    log = log_of(spark, ops)
+    keys_of = {x["key"]: x["s"] for x in log.where("key IS NOT NULL").select("key", keys.shard(F.col("key"), shards).alias("s")).distinct().collect()}
+    start, last = ops[0][4], ops[-1][4]
+    rounds = (last - start) // interval
+    busy = {(i, s) for i in range(1, rounds + 1) for s in range(shards) if r.random() < 0.5}
+    busy -= {(rounds, s) for s in range(shards)}
+    held, at, want = {}, 0, []
+    for i in range(1, rounds + 1):
+        now = start + i * interval
+        while at < len(ops) and ops[at][4] <= now:
+            op, key, _, t, when = ops[at]
+            if op == "PUT":
+                held[key] = when + t if t else 0
+            elif op == "CLEAR":
+                held.clear()
+            elif op == "DELETE" or held.get(key) and when > held[key]:
+                held.pop(key, None)
+            at += 1
+        dead = [k for k, e in held.items() if e and now > e and (i, keys_of[k]) not in busy]
+        for k in dead:
+            del held[k]
+        want.append((i, len(dead), sum((i, s) in busy for s in range(shards))))
+    got = ttl.sweep_rounds(log, spark.createDataFrame(sorted(busy), "round long, shard int"), shards, interval).orderBy("round").collect()
+    assert [tuple(x) for x in got] == want
+    assert sum(x[1] for x in want) > 5 and rounds > 20
+
+
+def test_counters_after_a_reset_keep_the_data(spark):
+    ops = [put("a"), put("b", ttl_ms=10), read("a", 1), read("c", 2), put("a", at=3), read("a", 4), read("b", 20), read("b", 21), ("DELETE", "a", None, 0, 22), ("DELETE", "a", None, 0, 23)]
+    one = stats.counters_since(log_of(spark, ops), 4).first().asDict()
+    assert one == {"hits": 1, "misses": 2, "puts": 1, "last_hit_ms": 4, "last_miss_ms": 21, "last_access_ms": 21, "expired": 1, "removes": 1}
+    none = stats.counters_since(log_of(spark, ops), 99).first().asDict()
+    assert none == {"hits": 0, "misses": 0, "puts": 0, "last_hit_ms": None, "last_miss_ms": None, "last_access_ms": None, "expired": 0, "removes": 0}
+
+
+def test_counters_by_shard_add_up(spark):
+    log = log_of(spark, random_log(6))
+    parts = stats.counters_by_shard(log, 4, 25).collect()
+    whole = stats.cache_stats(log, 100).first()
+    for c in ("hits", "misses", "expired", "puts", "removes", "size"):
+        assert sum(p[c] for p in parts) == whole[c]
+    assert {p["total_capacity"] for p in parts} == {100} and len(parts) > 1
