@@ -15,6 +15,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -59,7 +60,8 @@ class WordTokens:
                 stem, mark = word[:-1], word[-1:]
                 found = b"".join(self.words.get(x) or self.miss(x) for x in (stem, mark))
             else:
-                found = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u2").tobytes()
+                ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+                found = struct.pack(f"<{len(ids)}H", *ids)
         if len(word) <= 64:
             self.words[word] = found
         return found
@@ -87,40 +89,42 @@ def projection() -> tuple[np.ndarray, np.ndarray]:
     return dimension, np.random.default_rng(20).standard_normal((HASHED, SHOWN)).astype(np.float32)
 
 
-def hilbert(axes: list[int], bits: int = BITS) -> int:
-    """The place on the Hilbert curve of a cell given by its coordinates (Skilling's transpose form)."""
-    x, n = list(axes), len(axes)
+def hilbert(axes: list, bits: int = BITS) -> np.ndarray:
+    """The places on the Hilbert curve of cells given by their coordinates, one array for each axis (Skilling's transpose
+    form)."""
+    x, n = [np.asarray(a, dtype=np.int64) for a in axes], len(axes)
     q = 1 << (bits - 1)
     while q > 1:
         low = q - 1
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= low
-            else:
-                t = (x[0] ^ x[i]) & low
-                x[0] ^= t
-                x[i] ^= t
+            inverted = (x[i] & q) != 0
+            t = np.where(inverted, 0, (x[0] ^ x[i]) & low)
+            x[0] = x[0] ^ np.where(inverted, low, t)
+            if i:
+                x[i] = x[i] ^ t
         q >>= 1
     for i in range(1, n):
-        x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
+        x[i] = x[i] ^ x[i - 1]
+    t, q = np.zeros_like(x[0]), 1 << (bits - 1)
     while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
+        t = t ^ np.where((x[n - 1] & q) != 0, q - 1, 0)
         q >>= 1
-    out = 0
+    out = np.zeros_like(x[0])
     for b in range(bits - 1, -1, -1):
         for i in range(n):
             out = out << 1 | ((x[i] ^ t) >> b & 1)
     return out
 
 
-def curve_key(ids: np.ndarray, dimension: np.ndarray, matrix: np.ndarray) -> int:
-    """Hilbert key of the document vector; the empty document lies in the middle cell."""
-    weights = np.log1p(np.bincount(dimension[ids], minlength=HASHED)).astype(np.float32)
-    shown = weights @ matrix / max(float(np.sqrt(weights @ weights)), 1e-9)
-    cells = np.clip((0.5 + 0.5 * np.tanh(shown / 2)) * (1 << BITS), 0, (1 << BITS) - 1).astype(int)
-    return hilbert(cells.tolist())
+def curve_keys(texts: list[bytes], dimension: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Hilbert keys of the document vectors (texts: packed ids); the empty document lies in the middle cell. Each vector
+    is projected by itself, so that equal texts of different batches have one key."""
+    shown = np.zeros((len(texts), SHOWN), dtype=np.float32)
+    for row, ids in zip(shown, texts, strict=True):
+        weights = np.log1p(np.bincount(dimension[np.frombuffer(ids, "<u2")], minlength=HASHED)).astype(np.float32)
+        row[:] = weights @ matrix / max(float(np.sqrt(weights @ weights)), 1e-9)
+    cells = np.clip((0.5 + 0.5 * np.tanh(shown / 2)) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+    return hilbert(list(cells.T))
 
 
 def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -133,7 +137,7 @@ def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 ids = [own.ids(t or b"") for t in some.column(1).cast(pa.large_binary()).to_pylist()]
-                keys = [curve_key(np.frombuffer(x, "<u2"), dimension, matrix) for x in ids]
+                keys = curve_keys(ids, dimension, matrix)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys, pa.int64()), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "curve", "n", "ids"])
 
     read = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, curve long, n long, ids binary", keeps=True)
