@@ -7,8 +7,10 @@ of columns: a block drops the columns with one entry. Then
 
 1. each row is multiplied with the central row of its columns (a star, linear in the entries), the best of these by
    accumulated overlap is verified on the full sets, and links become components;
-2. a column whose rows lie in one component is done. A row's open entries, and all that lies behind its first ones,
-   bound its overlap with any row of another component and so that row's size; rows that no size fits go;
+2. a column whose rows lie in one component is done. Rows of two components share open entries of both and, from where
+   the first entries of one end, what lies behind those. As that may be either, the larger row's rest bounds it: a row's
+   open entries and its own rest bound its overlap with rows no larger, and its open entries the sizes of larger ones
+   that fit it. Rows that no size in their columns fits go;
 3. in what is left, only rows outside a column's largest component meet the others of that column. A pair is made at
    the first column that both have (``SEEN`` earlier ones are looked up), if the entries from there on can reach the
    overlap that the two sizes ask for, and is verified on the full sets.
@@ -230,16 +232,24 @@ def overlap_of(x: Column, y: Column) -> Column:
 
 
 def open_entries(columns: DataFrame, roots: DataFrame) -> DataFrame:
-    """gram, key, n, place, root, most, home: the entries in columns of several components. ``home``: the row is of the
-    column's largest component; ``most``: the largest size of a partner. Rows that no partner's size fits are left out."""
+    """gram, key, n, place, root, home, most, over, large: the entries in columns of several components. ``home``: the row
+    is of the column's largest component; ``most``: the largest size of a partner that is no larger than the row;
+    ``large``: such a size fits; ``over``: a larger partner's size lies above it. Left are the columns with a large row,
+    and in them the rows that are large or may fit a larger one there."""
     placed = cut(columns.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
     by_root = placed.groupBy("gram", "root").agg(F.count("*").alias("rows"))
     spread = by_root.groupBy("gram").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1")
     left = cut(placed.join(cut(spread.drop("roots"), "open"), "gram").withColumn("home", F.col("root") == F.col("largest")).drop("largest"), "open-entries")
-    # What a row can share outside its component: its open entries and what lies behind its first ones.
-    reach = left.groupBy("key", "n").agg((F.count("*") + need_of(F.col("n")) - 1).alias("reach"))
-    able = reach.withColumn("most", most_of(F.col("reach"), F.col("n"))).where(F.col("most") >= need_of(F.col("n")))
-    return left.join(cut(able.select("key", "most"), "able"), "key")
+    # What two rows share is met in open columns of both, until the first entries of one end; then it lies behind those.
+    # Which of the two that is remains open, so the larger one's rest bounds it.
+    n = F.col("n")
+    bounds = left.groupBy("key", "n").agg(F.count("*").alias("open"))
+    bounds = bounds.withColumn("most", most_of(F.col("open") + need_of(n) - 1, n)).withColumn("over", over_of(F.col("open"), n))
+    bounds = cut(bounds.select("key", "most", "over", (F.col("most") >= need_of(n)).alias("large")), "bounds")
+    left = left.join(bounds, "key")
+    wide = cut(left.where("large").groupBy("gram").agg(F.min("n").alias("narrowest"), F.max("n").alias("widest")), "wide")
+    fits_larger = (F.col("widest") > F.greatest("n", "over")) & (100 * n >= LEAST * F.col("narrowest"))
+    return left.join(wide, "gram").where(F.col("large") | fits_larger).drop("narrowest", "widest")
 
 
 def most_of(reach: Column, n: Column) -> Column:
@@ -247,17 +257,29 @@ def most_of(reach: Column, n: Column) -> Column:
     return F.floor(reach * (100 + LEAST) / LEAST) - n
 
 
+def over_of(count: Column, n: Column) -> Column:
+    """A partner of m >= n that shares ``count`` entries with a set of n, and what lies behind its own first ones, can
+    reach the bound only if m is above this."""
+    return F.floor((100 * LEAST * n - 100 * (100 + LEAST) * count) / (LEAST * LEAST))
+
+
 def pairs_across(left: DataFrame, seen: int) -> DataFrame:
-    """Pairs (a, b) of rows of different components, made at the first open column that both have."""
-    each = left.groupBy("key", "n", "root", "most").agg(F.sort_array(F.collect_list(F.struct("place", "gram", "home"))).alias("own"))
+    """Pairs (a, b) of rows of different components, a no smaller than b, made at the first open column that both have."""
+    row = ["key", "n", "root", "most", "over", "large"]
+    each = left.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("place", "gram", "home"))).alias("own"))
     each = each.withColumn("before", F.transform(F.slice("own", 1, seen), lambda x: x["gram"]))
-    dealt = each.select("key", "n", "root", "most", "before", F.size("own").alias("size"), F.posexplode("own").alias("at", "x"))
-    dealt = dealt.select("key", "n", "root", "most", F.col("x.gram").alias("gram"), F.col("x.home").alias("home"), (F.col("size") - F.col("at") + need_of(F.col("n")) - 1).alias("rest"), F.slice("before", F.lit(1), F.least("at", F.lit(seen))).alias("before"))
+    dealt = each.select(*row, "before", F.size("own").alias("size"), F.posexplode("own").alias("at", "x"))
+    dealt = dealt.select(*row, F.col("x.gram").alias("gram"), F.col("x.home").alias("home"), (F.col("size") - F.col("at")).alias("rest"), F.slice("before", F.lit(1), F.least("at", F.lit(seen))).alias("before"))
     dealt = cut(dealt, "dealt")
-    other = dealt.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "root", "most", "home", "rest", "before")])
-    apart = (F.col("root") != F.col("root_b")) & (F.col("home_b") | (F.col("root") < F.col("root_b")))
-    fits = size_fits(F.col("n"), F.col("n_b")) & (F.col("n_b") <= F.col("most")) & (F.col("n") <= F.col("most_b")) & (F.least("rest", "rest_b") >= overlap_of(F.col("n"), F.col("n_b")))
-    met = dealt.where(~F.col("home")).join(other, "gram").where(apart & fits & ~F.arrays_overlap("before", "before_b"))
+    other = dealt.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "root", "over", "large", "home", "rest", "before")])
+    once = (F.col("n") > F.col("n_b")) | (F.col("large_b") & (F.col("n") == F.col("n_b")) & (F.col("key") < F.col("key_b")))
+    fits = once & (F.col("root") != F.col("root_b")) & size_fits(F.col("n"), F.col("n_b")) & (F.col("n_b") <= F.col("most")) & (F.col("n") > F.col("over_b"))
+    fits &= F.least("rest", "rest_b") + need_of(F.col("n")) - 1 >= overlap_of(F.col("n"), F.col("n_b"))
+    fits &= ~F.arrays_overlap("before", "before_b")
+    # Two rows of the largest component are never joined.
+    large = dealt.where("large")
+    met = large.where("NOT home").join(other, "gram").where(fits).select("key", "key_b")
+    met = met.union(large.where("home").join(other.where("NOT home_b"), "gram").where(fits).select("key", "key_b"))
     return met.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
 
 

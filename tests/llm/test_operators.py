@@ -392,6 +392,28 @@ def test_ngram_join_on_a_passage_in_short_texts(spark):
     assert got == brute_components(dict(rows)) and sum(k != c for k, (_, c) in got.items()) >= 40
 
 
+def test_ngram_join_of_a_text_with_a_longer_one_behind_its_first_entries(spark):
+    """The longer text has only one of the shorter one's columns among its first ones, and a third leads that column."""
+    rows, i = [], 0
+    while len(rows) < 12:
+        i += 1
+        words = [f"s{i}x{k}" for k in range(14)]
+        own = ngram_join.shingles(" ".join(words[:12]).encode())
+        more = np.setdiff1d(ngram_join.shingles(" ".join(words).encode()), own)
+        if more.max() > own[1]:
+            continue
+        for at in range(8):  # the words of the column that both have
+            if ngram_join.shingles(" ".join(words[at : at + 5]).encode())[0] == own[0]:
+                tail = " ".join(f"t{i}x{k}" for k in range(30))
+                lead = f"{' '.join(words[at : at + 5])} {tail}"
+                rows += [(10 * i, " ".join(words[:12])), (10 * i + 1, " ".join(words)), (10 * i + 2, lead), (10 * i + 3, f"{tail} {' '.join(f'u{i}x{k}' for k in range(30))}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(dict(rows))
+    assert sum(k != c for k, (_, c) in want.items()) == len(rows) // 4
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_components(table, 0).collect()}
+    assert got == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (6, 5), (6, 6), (9, 8), (8, 7), (7, 10)], "a long, b long")
     assert {r["key"]: r["root"] for r in ngram_join.components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 7, 9: 7, 10: 7}
