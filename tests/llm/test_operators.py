@@ -440,6 +440,27 @@ def test_toxicity_held_out_accuracy(spark):
     assert len(none) == 902 and all(x["score"] == 0 for x in none)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Rows beyond those of the first model, and long texts, are trained on, and thresholds count all rows held back."""
+    monkeypatch.setattr(toxicity_cnn, "MOST_EACH", 30)
+    monkeypatch.setattr(toxicity_cnn, "LONGEST", 1500)
+    monkeypatch.setattr(toxicity_cnn, "SHARD", 900, raising=False)
+    rows = []
+    for i in range(3000):
+        words = prose(i, 60).split(" ")
+        if i % 4 == 0:
+            words[7] = words[31] = "shortvile" if i % 8 else "longugly"
+        rows.append((i, " ".join(words * (1 + 3 * (i % 8 == 0)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    out = {x["doc_id"]: x["predicted"] for x in toxicity_cnn.judged(docs, labels).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(out[i] for i in held if i % 8 == 0) >= 0.95 * sum(i % 8 == 0 for i in held)
+    assert sum(out[i] == (i % 4 == 0) for i in held) >= 0.97 * len(held)
+    again = {x["doc_id"]: x["predicted"] for x in toxicity_cnn.judged(docs.repartition(7), labels).collect()}
+    assert again == out
+
+
 def brute_url(url):
     host = path = ""
     if url and "://" in url:
