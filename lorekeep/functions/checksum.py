@@ -12,10 +12,8 @@ ENTRY_OVERHEAD = 4 + 1 + 4 + 4 + 8 + 8 + 4
 
 def polynomial(text: Column) -> Column:
     """h = h * 31 + byte, modulo 2**32."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    at = F.sequence(F.lit(1), F.octet_length(text))
-    bytes_ = F.when(F.octet_length(text) > 0, F.transform(at, lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(bytes_, F.lit(0).cast("long"), lambda h, b: F.pmod(h * 31 + b, F.lit(MODULUS)))
+    bytes_ = F.split(F.decode(F.coalesce(text, F.lit("")).cast("binary"), "ISO-8859-1"), "")  # one pass, a character a byte
+    return F.aggregate(bytes_, F.lit(0).cast("long"), lambda h, b: (h * 31 + F.ascii(b)).bitwiseAND(F.lit(MODULUS - 1)))
 
 
 def entry(key: Column, value: Column) -> Column:

@@ -37,10 +37,13 @@ def size_bytes(log: DataFrame) -> DataFrame:
     return log.agg(F.coalesce(F.sum(checksum.entry_bytes(F.col("key"), F.col("value"))), F.lit(0)).alias("bytes"))
 
 
+def first_bad(log: DataFrame) -> DataFrame:
+    return log.where(F.col("checksum") != checksum.entry(F.col("key"), F.col("value"))).agg(F.min("lsn").alias("bad_lsn"))
+
+
 def valid_prefix(log: DataFrame) -> DataFrame:
     """The entries before the first one whose checksum is wrong."""
-    bad = log.where(F.col("checksum") != checksum.entry(F.col("key"), F.col("value"))).agg(F.min("lsn").alias("bad_lsn"))
-    return log.crossJoin(F.broadcast(bad)).where("bad_lsn IS NULL OR lsn < bad_lsn").drop("bad_lsn")  # one row
+    return log.crossJoin(F.broadcast(first_bad(log))).where("bad_lsn IS NULL OR lsn < bad_lsn").drop("bad_lsn")  # one row
 
 
 def should_checkpoint(minutes_since: float, log_bytes: int) -> bool:
@@ -87,7 +90,9 @@ class DurableTable:
             return self.spark.createDataFrame([], schema)
         floor = self.usable()[0] if after is None else after
         read = self.spark.read.schema(f"{schema}, first bigint, last bigint").parquet(f"{self.folder}/log")
-        return valid_prefix(read.where((F.col("last") > floor) & (F.col("lsn") > floor)).drop("first", "last"))
+        log = read.where((F.col("last") > floor) & (F.col("lsn") > floor)).drop("first", "last")
+        bad = first_bad(log).first()[0]  # checksums are computed once, not with each use of the log
+        return log if bad is None else log.where(F.col("lsn") < bad)
 
     def append(self, ops: DataFrame) -> None:
         """ops: as the log's schema, LSNs given. A batch is a segment, named by its first and last LSN."""

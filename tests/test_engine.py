@@ -378,6 +378,23 @@ def test_recovery_with_a_bad_newest_header_loses_nothing(spark, tmp_path):
     assert (lsn, {r["key"]: r["value"] for r in state.collect()}) == (3, {"a": "a0", "b": "b1", "c": "c2"})
 
 
+def test_recovery_computes_checksums_once(spark, tmp_path):
+    """What is read of the log holds no checksum any more, and a wrong one still ends it."""
+    t = oplog.DurableTable(spark, str(tmp_path))
+    rows = [(i, i, "PUT", f"k{i}", v, 0) for i, v in enumerate(["", None, "a\x00b", "日本🙂 é\xa0\x85", "x" * 500], 1)]
+    t.append(spark.createDataFrame(rows, "lsn long, ts_ms long, op string, key string, value string, ttl_ms long"))
+    log = t.read_log()
+    assert "aggregate(" not in log._jdf.queryExecution().optimizedPlan().toString() and log.count() == 5
+    for r in log.collect():
+        want = 0
+        for b in (r["key"] + (r["value"] or "")).encode():
+            want = (want * 31 + b) % (1 << 32)
+        assert r["checksum"] == want
+    bad = [(6, 6, "PUT", "k6", "v", 0, 1), (7, 7, "PUT", "k7", "v", 0, 2)]
+    spark.createDataFrame(bad, "lsn long, ts_ms long, op string, key string, value string, ttl_ms long, checksum long").write.parquet(f"{tmp_path}/log/first=6/last=7")
+    assert t.read_log().count() == 5 and t.recover()[1] == 5
+
+
 def test_recovery_falls_back_to_an_older_snapshot_and_the_log_after_it(spark, tmp_path):
     t = durable(spark, tmp_path, ["a", "x"], ["b", "x"], ["c"])
     spark.createDataFrame([(0, 0, "odd", "v")], "put_ms long, expiry_ms long, key string, value string").write.mode("append").parquet(f"{tmp_path}/snapshots/lsn=4")
