@@ -14,10 +14,11 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,49 @@ WEIGHED = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to int"
 
 
+#: What comes before the merges in the tokeniser whose words are cut here; another one cuts each word by itself.
+BEFORE_MERGES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: Letters that are one code point in NFC and in lower case (I with a dot is two), beside those of ASCII.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+SIMPLE = re.compile(f"[!-~{LATIN}]+")
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z{LATIN}0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte in the vocabulary, by its place in Latin-1."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip([b for b in range(256) if b not in plain], map(chr, range(256, 512)), strict=False))
+
+
+class Words(dict):
+    """Packed ids by word, made when first asked for; two bounded generations."""
+
+    def __init__(self, make: Callable[[bytes], bytes], most: int) -> None:
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class WordTokens:
-    """Ids of white-space separated words, which this tokeniser encodes independently; two bounded cache generations."""
+    """Ids of white-space separated words, which this tokeniser encodes independently."""
 
     MOST = 600_000
 
@@ -48,23 +90,23 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = True
         self.added = {x.content.encode(): np.array([i], dtype="<u2").tobytes() for i, x in self.tokenizer.get_added_tokens_decoder().items()}
         self.cuts = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def miss(self, word: bytes) -> bytes:
-        if len(self.words) >= self.MOST:
-            self.older, self.words = self.words, {}
-        found = self.older.get(word)
-        if found is None:
-            if word[-1:] in b",." and word[-2:-1].isalpha():  # a mark after a letter is a token row of its own
-                stem, mark = word[:-1], word[-1:]
-                found = b"".join(self.words.get(x) or self.miss(x) for x in (stem, mark))
-            else:
-                ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-                found = struct.pack(f"<{len(ids)}H", *ids)
-        if len(word) <= 64:
-            self.words[word] = found
-        return found
+        before = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.known = tuple(x and json.loads(x.__getstate__()) for x in before) == BEFORE_MERGES
+        self.merges, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self.words = Words(self.make, self.MOST)
+
+    def make(self, word: bytes) -> bytes:
+        """The ids of a word of simple letters are those of its parts; the merges of a part are the library's, without
+        its way to them. Any other word goes through all of the library."""
+        if self.known and SIMPLE.fullmatch(text := word.decode().lower()):
+            if not text.isalpha() and len(parts := PARTS.findall(text)) > 1:
+                return b"".join([self.words[x.encode()] for x in parts])
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.letters)
+            ids = [x.id for x in self.merges(text)]
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def ids(self, raw: bytes) -> bytes:
         """Little-endian unsigned 16-bit ids: the vocabulary has fewer than 65,536. The tokeniser lower-cases anyway."""
@@ -73,9 +115,12 @@ class WordTokens:
         return self.plain(raw)
 
     def plain(self, raw: bytes) -> bytes:
-        get = self.words.get
-        parts = [self.miss(w) if (found := get(w)) is None else found for w in raw.lower().split()]
-        return b"".join(parts)
+        if b"\xcc" in raw or b"\xcd" in raw:
+            # A mark of U+0300 to U+037F may compose with a small letter only, and the tokeniser composes first.
+            words = [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in raw.split()]
+        else:
+            words = raw.lower().split()
+        return b"".join(map(self.words.__getitem__, words))
 
 
 def word_tokens(tokenizer_file: str) -> WordTokens:

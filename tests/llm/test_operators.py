@@ -142,6 +142,31 @@ def test_packing(docs, empty):
     assert curve_packing.pack(empty, word_file()).count() == 0
 
 
+def packed_by_library(text):
+    from tokenizers import Tokenizer
+
+    return np.array(Tokenizer.from_file(word_file()).encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+
+def test_word_tokens_skip_the_librarys_way_to_the_merges():
+    text = "Ellerean, underchst it's THEY'LL ''s ''' x''s e-mail: a$$$ ciónllñga, Ätzheit. Étreê!! ŉ ĲSSEL ſt 8f36,5 (ß) word_word"
+    own = curve_packing.WordTokens(word_file())
+    own.tokenizer = None  # these words need the merges only
+    assert own.ids(text.encode()) == own.ids(text.encode()) == packed_by_library(text)
+
+
+def test_word_tokens_of_marks_other_scripts_and_small_generations():
+    # These five capitals have no form with their marks, the small letters have: NFC must come first.
+    text = "J\u030c T\u0308 H\u0331 W\u030a Y\u030aX t\u0344 T\u0344 Plain E\u0301t \u0130x \xd7\xf7 \xb2\xbd \u03a9\u03c3\u03c2 \u65e5\u672c \u1112\u1161\u11ab a\xa0B c\u2003d \x1c \x7f \ufb01 \u212b \u212a'S \U0001f642's "
+    own = curve_packing.WordTokens(word_file())
+    assert own.ids(text.encode()) == packed_by_library(text)
+    own.words = curve_packing.Words(own.make, 3)
+    assert own.ids(2 * text.encode()) == packed_by_library(2 * text) and len(own.words) <= 3 and len(own.words.older) == 3
+    own.known = False  # as with a tokeniser whose way to the merges is not this one
+    own.words = curve_packing.Words(own.make, 50)
+    assert own.ids(text.encode()) == packed_by_library(text)
+
+
 def test_hilbert_neighbours_and_bijection():
     keys = {(x, y, z): curve_packing.hilbert([x, y, z], 3) for x in range(8) for y in range(8) for z in range(8)}
     assert sorted(keys.values()) == list(range(512))
