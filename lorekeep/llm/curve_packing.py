@@ -18,7 +18,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,6 @@ BITS, HASHED, SHOWN = 10, 256, 3
 WEIGHED = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to int"
 
-
 #: What comes before the merges in the tokeniser whose words are cut here; another one cuts each word by itself.
 BEFORE_MERGES = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -58,26 +57,9 @@ def byte_letters() -> dict[int, str]:
     return dict(zip([b for b in range(256) if b not in plain], map(chr, range(256, 512)), strict=False))
 
 
-class Words(dict):
-    """Packed ids by word, made when first asked for; two bounded generations."""
-
-    def __init__(self, make: Callable[[bytes], bytes], most: int) -> None:
-        self.make, self.most, self.older = make, most, {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            found = self.make(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[word] = found
-        return found
-
-
-class WordTokens:
-    """Ids of white-space separated words, which this tokeniser encodes independently."""
+class WordTokens(dict):
+    """Packed ids of white-space separated words, which this tokeniser encodes independently, made when first asked for;
+    two bounded generations. It is its own cache, so that nothing but its user refers to it and it goes with them."""
 
     MOST = 600_000
 
@@ -93,14 +75,25 @@ class WordTokens:
         before = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
         self.known = tuple(x and json.loads(x.__getstate__()) for x in before) == BEFORE_MERGES
         self.merges, self.letters = self.tokenizer.model.tokenize, byte_letters()
-        self.words = Words(self.make, self.MOST)
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= self.MOST:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
 
     def make(self, word: bytes) -> bytes:
         """The ids of a word of simple letters are those of its parts; the merges of a part are the library's, without
         its way to them. Any other word goes through all of the library."""
         if self.known and SIMPLE.fullmatch(text := word.decode().lower()):
             if not text.isalpha() and len(parts := PARTS.findall(text)) > 1:
-                return b"".join([self.words[x.encode()] for x in parts])
+                return b"".join([self[x.encode()] for x in parts])
             if not text.isascii():
                 text = text.encode().decode("latin-1").translate(self.letters)
             ids = [x.id for x in self.merges(text)]
@@ -120,7 +113,7 @@ class WordTokens:
             words = [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in raw.split()]
         else:
             words = raw.lower().split()
-        return b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.__getitem__, words))
 
 
 def word_tokens(tokenizer_file: str) -> WordTokens:

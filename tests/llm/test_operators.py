@@ -160,11 +160,22 @@ def test_word_tokens_of_marks_other_scripts_and_small_generations():
     text = "J\u030c T\u0308 H\u0331 W\u030a Y\u030aX t\u0344 T\u0344 Plain E\u0301t \u0130x \xd7\xf7 \xb2\xbd \u03a9\u03c3\u03c2 \u65e5\u672c \u1112\u1161\u11ab a\xa0B c\u2003d \x1c \x7f \ufb01 \u212b \u212a'S \U0001f642's "
     own = curve_packing.WordTokens(word_file())
     assert own.ids(text.encode()) == packed_by_library(text)
-    own.words = curve_packing.Words(own.make, 3)
-    assert own.ids(2 * text.encode()) == packed_by_library(2 * text) and len(own.words) <= 3 and len(own.words.older) == 3
-    own.known = False  # as with a tokeniser whose way to the merges is not this one
-    own.words = curve_packing.Words(own.make, 50)
-    assert own.ids(text.encode()) == packed_by_library(text)
+    small = curve_packing.WordTokens(word_file())
+    small.MOST = 3
+    assert small.ids(2 * text.encode()) == packed_by_library(2 * text) and len(small) <= 3 and len(small.older) == 3
+    other = curve_packing.WordTokens(word_file())
+    other.known = False  # as with a tokeniser whose way to the merges is not this one
+    assert other.ids(text.encode()) == packed_by_library(text)
+
+
+def test_word_tokens_go_with_their_user():
+    import weakref
+
+    own = curve_packing.WordTokens(word_file())
+    own.ids(b"a few words.")
+    seen = weakref.ref(own)
+    del own
+    assert seen() is None  # at once, so that a worker does not hold two operators' caches
 
 
 def test_hilbert_neighbours_and_bijection():
